@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import exact_dedup, near_dedup
+from brindle.llm import decontaminate, exact_dedup, near_dedup, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
