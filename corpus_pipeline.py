@@ -1,7 +1,8 @@
 """The training-data pipeline: each stage's result is written as Parquet and read again by the next.
 
 No SQL expresses the toxicity model, the near-duplicate groups or the packing, so ``ORACLE_SQL`` is None
-and the stages are tested against brute force on small fixtures.
+and the stages are tested against brute force on small fixtures.  A stage decides by its whole input;
+clean documents stay, with all their columns, until the last stage packs them.
 """
 
 from __future__ import annotations
@@ -50,15 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents, one after another."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
-
-
-STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
         docs, _ = cut(stage(spark, docs, sf_dir))
     return docs
