@@ -94,15 +94,15 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut record batches to about 4 MB of text; a longer document comes whole, alone."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str, size: int = _CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Cut record batches to about ``size`` bytes of text; a longer document comes whole, alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
         data, offsets = buffers(batch.column(batch.schema.get_field_index(text)))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _CHUNK, "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
 
