@@ -283,7 +283,7 @@ class Writer:
         return c
 
     # rows ------------------------------------------------------------------------------------------------------
-    def fill(self, table: str, records: list[dict[str, Any]], bound: bool = True) -> tuple[list[dict], tuple[str, list[int]] | None]:
+    def fill(self, table: str, records: list[dict[str, Any]], converted: bool = False) -> tuple[list[dict], tuple[str, list[int]] | None]:
         """Records converted to the schema, with defaults, ids and identity numbers."""
         schema = self.table(table)
         names = {c.name for c in schema.columns}
@@ -295,7 +295,7 @@ class Writer:
             row = {}
             for c in schema.columns:
                 if c.name in record:
-                    row[c.name] = coerce(record[c.name], c, bound)
+                    row[c.name] = record[c.name] if converted else coerce(record[c.name], c, True)
                 elif c.default_now:
                     row[c.name] = coerce(now, c, True)
                 else:
@@ -316,8 +316,8 @@ class Writer:
         schema = self.state.schema(table)
         return self.engine.spark.createDataFrame([tuple(r[c.name] for c in schema.columns) for r in rows], schema.struct())
 
-    def insert(self, table: str, records: list[dict], ignore: bool = False, bound: bool = True) -> tuple[list[dict], tuple[str, list[int]] | None]:
-        rows, identity = self.fill(table, records, bound)
+    def insert(self, table: str, records: list[dict], ignore: bool = False, converted: bool = False) -> tuple[list[dict], tuple[str, list[int]] | None]:
+        rows, identity = self.fill(table, records, converted)
         schema, old = self.state.schema(table), self.state.frame(table)
         for name in dict.fromkeys([*(["id"] if schema.get("id") else []), *schema.unique_columns()]):
             c = schema.get(name)
@@ -717,7 +717,7 @@ class Writer:
                 what = f"{len(names)} declared columns" if s.columns is None else f"{len(names)} columns"
                 raise E.SqlError(f"{s.table} has {what}, a row has {len(row)} values")
         records = [{n: coerce(v.value, schema.get(n), v.bound) for n, v in zip(names, row)} for row in s.rows]
-        rows, identity = self.insert(s.table, records, s.ignore, bound=True)
+        rows, identity = self.insert(s.table, records, s.ignore, converted=True)
         if s.returning:
             wanted = [c.name for c in schema.columns] if s.returning == ["*"] else s.returning
             kinds = [self.column(schema, n).type for n in wanted]
@@ -898,11 +898,18 @@ class Engine(Reads):
         return State(self._store, self._store.current())
 
     # attached tables -------------------------------------------------------------------------------------------
-    def attach(self, name: str, df: DataFrame) -> None:
-        """Make a DataFrame readable as a table; narrow numbers widen, so that all integers are int64."""
+    def attach(self, name: str, df: DataFrame, json_columns: Sequence[str] = ()) -> None:
+        """Make a DataFrame readable as a table; narrow numbers widen, so that all integers are int64.
+
+        Text columns named in ``json_columns`` are read as JSON in canonical form.
+        """
         columns = []
         for f in df.schema.fields:
             kind = f.dataType
+            if f.name in json_columns:
+                df = df.withColumn(f.name, F.to_json(F.parse_json(f"`{f.name}`")))
+                columns.append(Column(f.name, "json", f.name))
+                continue
             if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
                 df = df.withColumn(f.name, F.col(f"`{f.name}`").cast("bigint"))
                 kind = T.LongType()

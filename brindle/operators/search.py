@@ -5,6 +5,10 @@ All are DataFrame programs that end in a top-k, so only k rows leave the executo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,6 +33,10 @@ def _matching(record: Column | None) -> Column:
     return F.lit(True) if record is None else F.coalesce(record, F.lit(False))
 
 
+def _occurrences(term: str) -> Column:
+    return F.size(F.filter("t", lambda x: x == F.lit(term)))
+
+
 def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, keep: Column | None = None) -> DataFrame:
     """(id, score) of the documents that hold a query term; statistics are those of the whole corpus.
 
@@ -38,7 +46,7 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, keep: Column |
     spark = docs.sparkSession
     terms = [r[0] for r in spark.range(1).select(F.explode(F.array_distinct(tokens(F.lit(query))))).collect()]
     toks = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"), _matching(keep).alias("keep")).where(F.size("t") > 0)
-    counts = [F.size(F.filter("t", lambda x, w=term: x == F.lit(w))).alias(f"f{k}") for k, term in enumerate(terms)]
+    counts = [_occurrences(term).alias(f"f{k}") for k, term in enumerate(terms)]
     table = toks.select("id", "keep", F.size("t").cast("double").alias("dl"), *counts)
     stats = table.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"f{k}") > 0).cast("double")).alias(f"d{k}") for k in range(len(terms))])
     joined = table.crossJoin(F.broadcast(stats))
@@ -103,3 +111,39 @@ def ranking_quality(hits: DataFrame, judgments: DataFrame, k: int) -> DataFrame:
     all_ = total.join(by_query, "query_id", "left").withColumn("ideal", F.aggregate(F.sequence(F.lit(1), F.least(F.col("total"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1)))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return all_.agg(F.avg((zero(F.col("n").cast("double")) > 0).cast("double")).alias("hit_rate"), F.avg(zero(F.col("n") / F.col("total"))).alias("recall"), F.avg(zero(1 / F.col("best"))).alias("mrr"), F.avg(zero(F.col("dcg") / F.col("ideal"))).alias("ndcg"))
+
+
+def all_nearest(docs: DataFrame, id_col: str, vector_col: str, top_k: int = 10, metric: str = "cosine", blocks: int | None = None) -> DataFrame:
+    """(query_id, id, distance, rank from 1) of the ``top_k`` nearest other vectors of every vector; exact.
+
+    Vectors are packed into blocks, every pair of blocks is one matrix product, and the best of each are
+    merged.  The work is quadratic; it is spread over all pairs, so no task sees more than two blocks.
+    """
+    rows = docs.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+    blocks = blocks or max(1, -(-rows.count() // 4096))
+    packed = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("m")).select("block", "m.id", "m.v")
+    pairs = packed.crossJoin(packed.select(F.col("block").alias("other"), F.col("id").alias("id2"), F.col("v").alias("v2"))).repartition(max(1, min(blocks * blocks, 10_000)), "block", "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, ids2 = (np.asarray(batch.column(c)[k].values, np.int64) for c in (1, 4))
+                a, b = (np.asarray(batch.column(c)[k].values.flatten(), np.float64).reshape(len(i), -1) for c, i in ((2, ids), (5, ids2)))
+                product = a @ b.T
+                if metric == "dot":
+                    d = 1 - product
+                elif metric == "l2":
+                    d = np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * product, 0))
+                else:
+                    length = np.sqrt((a**2).sum(1))[:, None] * np.sqrt((b**2).sum(1))[None]
+                    d = np.where(length == 0, 1.0, 1 - product / np.where(length == 0, 1, length))
+                d[ids[:, None] == ids2[None]] = np.inf
+                n = min(top_k, d.shape[1])
+                near = np.lexsort((np.broadcast_to(ids2, d.shape), d), axis=1)[:, :n]
+                best = np.take_along_axis(d, near, 1)
+                keep = np.isfinite(best)
+                yield pa.record_batch([pa.array(np.repeat(ids, n)[keep.ravel()]), pa.array(ids2[near][keep]), pa.array(best[keep])], ["query_id", "id", "distance"])
+
+    found = pairs.mapInArrow(run, "query_id long, id long, distance double")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= top_k)
