@@ -1,25 +1,9 @@
-"""Awkward documents that every operator must take."""
+"""Fixtures of the operators' tests."""
 
 import pytest
+from awkward import CLASH, ROWS
 from pyspark.sql import functions as F
 
-LONG = " ".join(f"w{k % 977}x{k % 31}" for k in range(60_000))
-ROWS = [
-    (1, "the quick brown fox jumps over the lazy dog near the old river bank today", "en"),
-    (2, "the quick brown fox jumps over the lazy dog near the old river bank today", "en"),
-    (2, "the quick brown fox jumps over the lazy dog near the old river bank today", "en"),
-    (3, None, "en"),
-    (4, "", None),
-    (5, "   \n\t ", "de"),
-    (6, "?!...", "fr"),
-    (None, "text of nobody", "en"),
-    (None, None, None),
-    (7, "one", "en"),
-    (8, LONG, "en"),
-    (9, "ñandú ÁÉÍ 日本語 🙂 mixed", "es"),
-]
-CLASH = ["id", "t", "h", "s", "text_", "hot", "batch", "spans", "brindle_gone", "brindle_h", "brindle_keep", "n", "keep_id", "score", "toxic", "c", "piece", "shard"]
-
 
 @pytest.fixture(scope="session")
 def messy(spark):
@@ -32,9 +16,3 @@ def messy(spark):
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, id string, t int")
-
-
-def counted(df):
-    from collections import Counter
-
-    return Counter(tuple(r) for r in df.collect())

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from conftest import counted  # noqa: F401
+from awkward import LONG, counted
 
 from brindle.llm import exact_dedup, near_dedup, substring
 
@@ -133,6 +133,7 @@ def brute_passages(rows, window):
 
 
 def spread(df):
+    """Every repeated window that the spans stand for."""
     return {(r.doc_id, r.start_word + k, r.source_doc_id, r.source_start + k) for r in df.collect() for k in range(r.n_words - substring.WINDOW + 1)}
 
 
@@ -156,16 +157,14 @@ def test_passages_by_construction(spark):
         (5, " ".join(["loop"] * 200)),
         (6, " ".join(["loop"] * 120)),
     ]
-    got = {tuple(r) for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), batches=1).collect()}
-    assert got == {(2, 10, 51, 1, 30), (3, 7, 51, 1, 30), (3, 8, 69, 2, 11), (6, 0, 50, 5, 0)} or {g[:3] for g in got} >= {(2, 10, 51), (3, 7, 51)}
-    assert not any(g[0] in (1, 4, 5) for g in got) and any(g[0] == 6 for g in got)
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), batches=1).collect()
+    assert {(r.doc_id, r.start_word, r.n_words, r.source_doc_id) for r in got} >= {(2, 10, 51, 1), (3, 7, 51, 1), (3, 9, 68, 2)}
+    assert {r.doc_id for r in got} == {2, 3, 6}
 
 
 def test_passages_messy(messy, empty, spark):
-    from conftest import LONG
-
     assert substring.repeated_passages(messy).count() == 0
     assert substring.repeated_passages(empty).count() == 0
     two = messy.unionByName(messy.where("doc_id = 8").withColumn("doc_id", messy.doc_id + 100))
-    got = substring.repeated_passages(two, batches=1).collect()
-    assert [(r.doc_id, r.start_word, r.n_words, r.source_doc_id) for r in got] == [(108, 0, len(words(LONG)), 8)] or {r.doc_id for r in got} == {108}
+    got = substring.repeated_passages(two, batches=1)
+    assert spread(got) == brute_passages([(8, LONG), (108, LONG)], substring.WINDOW) and got.count() > 0
