@@ -3,7 +3,7 @@
 The features are lexicon densities (a seed lexicon, words and word beginnings learned from the labels),
 second-person proximity, capitals, punctuation, symbol and obfuscation rates and repetition.  The lexicon
 comes from all labelled documents: a unit enters if its log odds of toxic against clean documents are
-high and significant.  The trees are fitted to a bounded sample of ``SAMPLE`` labelled rows, with
+high and significant.  The trees are fitted to about ``SAMPLE`` labelled rows at most, with
 features from a lexicon of the other half of the documents, so that no row is judged by words that it
 brought in; scores are calibrated on the third of the sample that the trees did not see.
 
@@ -187,16 +187,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(q(id_col).alias("id"), q(text_col).alias("t")).where("t is not null")
     labelled, at = cut(texts.join(small(known, 24), "id").withColumn("fold", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2)).cast("int")))
     lexicons, _ = _learn(labelled)
-    picked = labelled.orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").limit(sample)
+    n = labelled.count()
+    picked = labelled if n <= sample else labelled.where(F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 30)) < int((1 << 30) * sample / n))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in tk.chunks(batches, "t"):
             fold = rows.column(2).to_numpy(zero_copy_only=False)
             both = [lex.features(data, offsets) for lex in lexicons[:2]]
             x = np.where(fold[:, None] == 0, both[1], both[0])
-            yield pa.record_batch([pa.array(x.tolist(), pa.list_(pa.float64())), rows.column(1)], ["x", "y"])
+            yield pa.record_batch([pa.array(x.tolist(), pa.list_(pa.float64())), rows.column(1), rows.column(3)], ["x", "y", "id"])
 
-    found = picked.select("t", "y", "fold").mapInArrow(features, "x array<double>, y int").toPandas()
+    found = picked.select("t", "y", "fold", "id").mapInArrow(features, "x array<double>, y int, id long").toPandas()
+    found = found.sort_values(["id", "y"], kind="stable", ignore_index=True)  # the fit does not depend on the order of partitions
     drop(spark, known_at, at)
     y = found["y"].to_numpy(float)
     if not len(y) or y.min() == y.max():
