@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +19,30 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+class BitFilter:
+    """Which 64-bit hashes may be in a set: one bit each, by their low bits, shared with the Python workers.
+
+    There are 16 bits or more for each member while that is at most ``most`` bits; a larger set only lets
+    more strangers pass, so whoever uses the filter must bear those.
+    """
+
+    def __init__(self, hashes: DataFrame, most: int = 1 << 29):
+        """``hashes`` is a written table with one column of longs."""
+        (name,) = hashes.columns
+        self.bits = max(1 << 15, min(most, 1 << (16 * hashes.count()).bit_length()))
+        place = hashes.select((F.pmod(name, F.lit(self.bits)) + 1).alias("x"))
+        pages = place.groupBy(F.bitmap_bucket_number("x").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).toPandas()
+        table = np.zeros(self.bits // 8, np.uint8)
+        for page, bits in zip(pages["page"], pages["bits"]):
+            table[(page - 1) * 4096 : page * 4096] = np.frombuffer(bits, np.uint8)
+        self.shared = hashes.sparkSession.sparkContext.broadcast(table)
+
+    def __getstate__(self) -> dict:
+        return {"bits": self.bits, "shared": self.shared}
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.view(np.uint64) & np.uint64(self.bits - 1)
+        return (self.shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
