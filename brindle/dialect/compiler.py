@@ -258,7 +258,7 @@ class SelectCompiler:
             self.links.append((a, b))
             known.add(join.source.alias)
 
-    # names -----------------------------------------------------------------------------------------------------
+    # names
     def column(self, operand: Any) -> tuple[SparkColumn, str, str]:
         bound = self.scope.find(operand)
         return bound.col(), bound.type, str(bound)
@@ -306,7 +306,7 @@ class SelectCompiler:
             return sum_long(col)
         return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[a.function](col)
 
-    # compilation -----------------------------------------------------------------------------------------------
+    # compilation
     def joined(self) -> DataFrame:
         predicates = Predicates(self.column)
         early: dict[str, list] = {}
@@ -406,7 +406,7 @@ class SelectCompiler:
             raise SqlError(f"ORDER BY '{o.key}' is not a column of the aggregate's output")
         return F.col(found[0].inner), found[0].type, o
 
-    # plan text -------------------------------------------------------------------------------------------------
+    # plan text
     def text(self, p: ast.Predicate | ast.Operand) -> str:
         if isinstance(p, ast.Ref):
             return str(self.scope.find(p))

@@ -27,6 +27,7 @@ from brindle.sources.store import State, Store
 from brindle.types import Column, ForeignKey, Index, Schema, check, coerce, from_tagged, kind_of, to_tagged
 
 DIGITS = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+VECTOR_OPTIONS = {"quantized": False, "metric": "cosine", "ef_construction": 200, "m": 16, "mode": "sync"}
 CASCADE_DEPTH, CASCADE_ROWS = 64, 100_000
 _counter = itertools.count()
 _id_lock = threading.Lock()
@@ -196,7 +197,7 @@ class Reads:
     def table_schema(self, table: str) -> Schema:
         return self._resolve(table)[0]
 
-    # search ----------------------------------------------------------------------------------------------------
+    # search
     def _keep(self, schema: Schema, wanted: Mapping | None):
         if not wanted:
             return None
@@ -223,11 +224,11 @@ class Reads:
     def _metric(self, schema: Schema, column: str, metric: str | None) -> str:
         return metric or schema.vector_indexes.get(column, {}).get("metric", "cosine")
 
-    def search_text_df(self, table: str, column: str, query: str, top_k: int = 10, filter: Mapping | None = None) -> DataFrame:
+    def search_text_df(self, table, column, query, top_k=10, filter=None) -> DataFrame:
         schema, df, key = self._search_column(table, column, "text")
         return search.search_text(df, self._id(schema).key, key, query, top_k, self._keep(schema, filter))
 
-    def search_vector_df(self, table: str, column: str, vector: list[float], top_k: int = 10, filter: Mapping | None = None, metric: str | None = None) -> DataFrame:
+    def search_vector_df(self, table, column, vector, top_k=10, filter=None, metric: str | None = None) -> DataFrame:
         schema, df, key = self._search_column(table, column, "vector")
         dim = schema.get(column).dim
         if dim is not None and len(vector) != dim:
@@ -242,11 +243,11 @@ class Reads:
         records = {r[key]: self._record(schema, r) for r in df.where(F.col(key).isin([i for i, _ in hits])).collect()} if hits else {}
         return sorted(((i, s, records[i]) for i, s in hits), key=lambda x: (-x[1] if descending else x[1], x[0]))
 
-    def search_text(self, table: str, column: str, query: str, top_k: int = 10, filter: Mapping | None = None) -> list[tuple[Any, float, dict]]:
+    def search_text(self, table, column, query, top_k=10, filter=None) -> list[tuple[Any, float, dict]]:
         """(id, score, record), best first."""
         return self._hits(table, self.search_text_df(table, column, query, top_k, filter), "score", True)
 
-    def search_vector(self, table: str, column: str, vector: list[float], top_k: int = 10, filter: Mapping | None = None, ef_search: int | None = None) -> list[tuple[Any, float, dict]]:
+    def search_vector(self, table, column, vector, top_k=10, filter=None, ef_search: int | None = None) -> list[tuple[Any, float, dict]]:
         """(id, distance, record), nearest first.  The search is exact, so ``ef_search`` changes nothing."""
         return self._hits(table, self.search_vector_df(table, column, vector, top_k, filter), "distance", False)
 
@@ -282,7 +283,7 @@ class Writer:
             raise E.ColumnNotFound(f"unknown column '{name}'")
         return c
 
-    # rows ------------------------------------------------------------------------------------------------------
+    # rows
     def fill(self, table: str, records: list[dict[str, Any]], converted: bool = False) -> tuple[list[dict], tuple[str, list[int]] | None]:
         """Records converted to the schema, with defaults, ids and identity numbers."""
         schema = self.table(table)
@@ -527,7 +528,7 @@ class Writer:
             self.remove(child, F.coalesce(F.col(own).isin(values), F.lit(False)), depth + 1)
         return n
 
-    # definitions -----------------------------------------------------------------------------------------------
+    # definitions
     def fresh_key(self, table: str) -> str:
         n = self.state.tables[table]["next_key"]
         self.state.tables[table]["next_key"] = n + 1
@@ -693,7 +694,7 @@ class Writer:
         if s.foreign_key:
             self.add_key(s.table, s.foreign_key)
 
-    # statements ------------------------------------------------------------------------------------------------
+    # statements
     def run(self, s: Any) -> Result:
         if isinstance(s, ast.Insert):
             return self.run_insert(s)
@@ -897,7 +898,7 @@ class Engine(Reads):
             return State(None, {"version": 0, "tables": {}})  # type: ignore[arg-type]
         return State(self._store, self._store.current())
 
-    # attached tables -------------------------------------------------------------------------------------------
+    # attached tables
     def attach(self, name: str, df: DataFrame, json_columns: Sequence[str] = ()) -> None:
         """Make a DataFrame readable as a table; narrow numbers widen, so that all integers are int64.
 
@@ -930,7 +931,7 @@ class Engine(Reads):
             self.attach(name, self.spark.read.parquet(f"{folder}/{name}.parquet"))
         return self
 
-    # identity --------------------------------------------------------------------------------------------------
+    # identity
     def high_water(self, table: str, column: str, state: State) -> int:
         return max(state.tables[table]["high"].get(column, 0), self._high.get((table, column), 0))
 
@@ -938,7 +939,7 @@ class Engine(Reads):
         self._high[table, column] = max(value, self.high_water(table, column, state))
         state.tables[table]["high"][column] = self._high[table, column]
 
-    # changes ---------------------------------------------------------------------------------------------------
+    # changes
     def _change(self, work: Callable[[Writer], Any]) -> Any:
         if self.read_only:
             raise E.ReadOnly("the engine was opened for reading")
@@ -1012,7 +1013,7 @@ class Engine(Reads):
                     tx.rollback()
                 raise
 
-    # search indexes --------------------------------------------------------------------------------------------
+    # search indexes
     def _index(self, table: str, column: str, kind: str, change: Callable[[Schema], None]) -> None:
         def work(w: Writer) -> None:
             schema = w.table(table)
@@ -1024,7 +1025,7 @@ class Engine(Reads):
 
         self._change(work)
 
-    def create_text_index(self, table: str, column: str) -> None:
+    def create_text_index(self, table, column) -> None:
         self._index(table, column, "text", lambda s: s.text_indexes.append(column) if column not in s.text_indexes else None)
 
     def drop_text_index(self, table: str, column: str) -> None:
@@ -1035,10 +1036,13 @@ class Engine(Reads):
 
         self._index(table, column, "text", change)
 
-    def create_vector_index(self, table: str, column: str, metric: str = "cosine", mode: str = "sync", m: int = 16, ef_construction: int = 200, quantized: bool = False) -> None:
-        if metric not in ("cosine", "dot", "l2"):
-            raise E.InvalidArgument(f"unknown metric '{metric}'")
-        options = {"metric": metric, "mode": mode, "m": m, "ef_construction": ef_construction, "quantized": quantized}
+    def create_vector_index(self, table: str, column: str, **given: Any) -> None:
+        """Options: ``metric`` (cosine, dot, l2) and ``quantized``; those of a graph are kept and change nothing."""
+        options = VECTOR_OPTIONS | given
+        if unknown := set(given) - set(VECTOR_OPTIONS):
+            raise E.InvalidArgument(f"unknown option '{sorted(unknown)[0]}'")
+        if options["metric"] not in ("cosine", "dot", "l2"):
+            raise E.InvalidArgument(f"unknown metric '{options['metric']}'")
         self._index(table, column, "vector", lambda s: s.vector_indexes.update({column: options}))
 
     def drop_vector_index(self, table: str, column: str) -> None:
@@ -1055,7 +1059,7 @@ class Engine(Reads):
     def wait_vector_indexing(self) -> None:
         return None
 
-    # files -----------------------------------------------------------------------------------------------------
+    # files
     def import_json(self, table: str, path: str) -> int:
         """Insert JSON lines (tagged values allowed), typed by the schema; an unknown column is an error."""
         schema = self.table_schema(table)

@@ -72,7 +72,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 dialect("flagship", FLAGSHIP, FLAGSHIP.replace("sum(o.o_totalprice)", "round(sum(o.o_totalprice), 2)"), {"total": 2})
 
-# scans ---------------------------------------------------------------------------------------------------------
+# scans
 dialect("scan_full", "SELECT * FROM orders")
 dialect("point_lookup", "SELECT * FROM customer WHERE c_custkey = 42", "SELECT * REPLACE (CAST(c_nationkey AS BIGINT) AS c_nationkey) FROM customer WHERE c_custkey = 42")
 dialect("index_eq", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7")
@@ -87,7 +87,7 @@ def bulk_order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dml.order_breaks(_read(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice").agg(F.count(F.lit(1)).alias("violations"))
 
 
-# projection ----------------------------------------------------------------------------------------------------
+# projection
 dialect("select_star", "SELECT * FROM part", "SELECT * REPLACE (CAST(p_size AS BIGINT) AS p_size) FROM part")
 dialect(
     "select_star_join", "SELECT * FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey",
@@ -96,7 +96,7 @@ dialect(
 dialect("project_cols", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 dialect("project_alias", "SELECT c_name AS name, c_acctbal AS balance FROM customer")
 
-# filters -------------------------------------------------------------------------------------------------------
+# filters
 dialect("filter_cmp", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 100000.0 AND o_orderstatus != 'F'")
 dialect("filter_and_or_not", "SELECT c_custkey FROM customer WHERE NOT (c_mktsegment = 'BUILDING' OR c_acctbal < 0) AND (c_nationkey > 10 OR c_nationkey = 3)")
 dialect("filter_is_null", "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey WHERE o.o_orderkey IS NULL")
@@ -116,7 +116,7 @@ def filter_json_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.sql("SELECT event_id FROM events WHERE props = '{ \"k\" : 69 }'")
 
 
-# joins ---------------------------------------------------------------------------------------------------------
+# joins
 dialect("join_inner", "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey")
 dialect("join_left", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey")
 dialect("join_right", "SELECT o.o_orderkey, c.c_custkey FROM orders o RIGHT JOIN customer c ON c.c_custkey = o.o_custkey")
@@ -143,7 +143,7 @@ dialect(
     compat_outer_pushdown=True,
 )
 
-# aggregates ----------------------------------------------------------------------------------------------------
+# aggregates
 dialect("agg_count_star", "SELECT count(*) AS n FROM lineitem")
 dialect("agg_count_col", "SELECT count(l.doc_id) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 dialect("agg_count_distinct", "SELECT count(DISTINCT l_partkey) AS n FROM lineitem")
@@ -170,7 +170,7 @@ dialect(
 dialect("group_order_alias", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority ORDER BY n DESC")
 dialect("group_limit_offset", "SELECT o_custkey, count(*) AS n, max(o_orderkey) AS last FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 10 OFFSET 5")
 
-# order ---------------------------------------------------------------------------------------------------------
+# order
 dialect("order_multi", "SELECT c_mktsegment, c_acctbal, c_custkey FROM customer ORDER BY c_mktsegment COLLATE binary, c_acctbal DESC, c_custkey", "SELECT c_mktsegment, c_acctbal, c_custkey FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey")
 dialect("order_nulls", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id ORDER BY l.quality DESC, d.doc_id LIMIT 500", "SELECT d.doc_id, CAST(l.quality AS BIGINT) AS quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id ORDER BY l.quality DESC NULLS LAST, d.doc_id LIMIT 500")
 _FOLD = "ABCDEFGHIJKLMNOPQRSTUVWXYZÑ" + "".join(LETTERS)
@@ -194,7 +194,7 @@ def limit_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir, "orders").sql("SELECT o_orderkey FROM orders LIMIT 37").agg(F.count(F.lit(1)).alias("n"))
 
 
-# functions -----------------------------------------------------------------------------------------------------
+# functions
 @query("cast_date", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders")
 def cast_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
@@ -249,7 +249,7 @@ def check_varchar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where((F.char_length("c_mktsegment") > 9) | ~F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey")
 
 
-# row changes ---------------------------------------------------------------------------------------------------
+# row changes
 @query("dml_insert_union", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT n_nationkey + 100, n_name FROM nation")
 def dml_insert_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = _read(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100).alias("r_regionkey"), F.col("n_name").alias("r_name"))
@@ -311,7 +311,7 @@ def fk_cascade_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dml.referencing(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", doomed, "c_custkey").select("o_orderkey")
 
 
-# search --------------------------------------------------------------------------------------------------------
+# search
 _WORDS = "license version thing with"
 _BM25 = f"""
 WITH t AS (SELECT doc_id, lang, {_TOKENS} AS ts FROM documents), live AS (SELECT * FROM t WHERE len(ts) > 0),

@@ -172,7 +172,7 @@ def check(value: Any, column: Column) -> None:
 
 def to_tagged(value: Any, kind: str = "") -> Any:
     """A value as JSON; types that JSON lacks carry a tag."""
-    if value is None or isinstance(value, (bool, int, float, str)) and kind not in ("time", "json"):
+    if value is None or isinstance(value, (str, float, int, bool)) and kind not in ("time", "json"):
         return value
     if kind == "time":
         return {"$t": "time", "v": format_time(value)}

@@ -21,7 +21,7 @@ def db(spark, tmp_path):
 
 def test_cursor(db):
     c = DbCursor(db)
-    assert c.executemany("INSERT INTO t (name, n) VALUES (?, ?)", [["a", 1], ["b", 2]]).rowcount == 2
+    assert c.executemany("INSERT INTO t (n, name) VALUES (?, ?)", [[1, "a"], [2, "b"]]).rowcount == 2
     c.execute("SELECT name, n FROM t ORDER BY n")
     assert [d[0] for d in c.description] == ["name", "n"] and c.rowcount == 2
     assert c.fetchone() == ["a", 1] and c.fetchall() == [["b", 2]] and c.fetchone() is None
@@ -30,14 +30,14 @@ def test_cursor(db):
 def test_session(db):
     s = Session(db, token="k")
     assert not s.handle({"op": "ping"})["ok"] and not s.handle({"op": "auth", "token": "x"})["ok"] and s.handle({"op": "auth", "token": "k"})["ok"]
-    assert s.handle({"op": "query", "sql": "INSERT INTO t (name, n) VALUES (?, ?)", "params": ["a", 1]}) == {"ok": True, "inserted": 1}
+    assert s.handle({"op": "query", "sql": "INSERT INTO t (n, name) VALUES (?, ?)", "params": [1, "a"]}) == {"ok": True, "inserted": 1}
     tx = s.handle({"op": "begin"})["tx"]
     id = s.handle({"op": "txn_insert", "tx": tx, "table": "t", "record": {"name": "b"}})["id"]
     assert s.handle({"op": "txn_get", "tx": tx, "table": "t", "id": id})["record"]["name"] == "b"
     assert s.handle({"op": "txn_update", "tx": tx, "table": "t", "id": id, "patch": {"n": 5}})["updated"]
     assert s.handle({"op": "commit", "tx": tx})["ok"] and not s.handle({"op": "commit", "tx": tx})["ok"]
-    assert s.handle({"op": "query", "sql": "SELECT n FROM t WHERE name = 'b'"}) == {"ok": True, "columns": ["n"], "rows": [[5]]}
-    assert s.handle({"op": "query", "sql": "SELECT * FROM nope"})["code"] == 4 and s.handle({"op": "what"})["code"] == 8
+    assert s.handle({"op": "query", "sql": "SELECT n FROM t WHERE n > 1"}) == {"ok": True, "columns": ["n"], "rows": [[5]]}
+    assert s.handle({"op": "query", "sql": "SELECT zz FROM nope"})["code"] == 4 and s.handle({"op": "what"})["code"] == 8
     assert s.handle({"op": "create_text_index", "table": "t", "column": "name"})["ok"]
     db.insert("t", {"name": "hello there"})
     assert s.handle({"op": "search_text", "table": "t", "column": "name", "query": "hello"})["hits"][0]["record"]["name"] == "hello there"

@@ -130,24 +130,24 @@ def test_definitions(db):
 
 
 def test_explain(db):
-    db.query("CREATE TABLE users (name text NOT NULL, email text, age int, city text)")
-    db.query("CREATE TABLE orders (user_id text, total int, status text)")
-    db.query("CREATE UNIQUE INDEX ON users (email)")
-    db.query("CREATE INDEX ON orders (user_id)")
-    plan = lambda sql, p=None: [r[0] for r in rows(db, "EXPLAIN " + sql, p)]
-    assert plan("SELECT * FROM users WHERE age >= 30") == ["SCAN users", "  filter: users.age >= 30"]
-    assert plan("SELECT * FROM users WHERE id = '01HZZ'") == ["POINT LOOKUP users.id = '01HZZ'"]
-    assert plan("SELECT name FROM users WHERE email = ?", ["x" * 80]) == [f"INDEX LOOKUP users.email = '{'x' * 32}...'"]
-    assert plan("SELECT name FROM users WHERE city = 'madrid'") == ["SCAN users  (equality city = 'madrid', no index)"]
-    assert plan("SELECT * FROM users WHERE city = NULL") == ["NO ACCESS users  (equality on NULL matches no row)"]
-    assert plan("SELECT name FROM users WHERE age > 30 ORDER BY name DESC LIMIT 10 OFFSET 5") == ["LIMIT 10 OFFSET 5", "  SORT users.name DESC", "    SCAN users", "      filter: users.age > 30"]
-    got = plan("SELECT u.name, o.total FROM users u JOIN orders o ON o.user_id = u.id WHERE u.age > 30 AND o.total > 100")
-    assert got == ["JOIN INNER (index nested-loop)", "  on: u.id = o.user_id", "  streamed: no joined rows are materialized", "  SCAN u", "    filter: u.age > 30", "  INDEX PROBE o.user_id = u.id", "    filter: o.total > 100"]
-    assert plan("SELECT u.name FROM users u JOIN orders o ON o.status = u.city") == ["JOIN INNER (hash join)", "  on: u.city = o.status", "  SCAN u", "  SCAN o"]
-    got = plan("SELECT city, count(*), sum(age) FROM users WHERE age > 18 GROUP BY city HAVING count(*) > 2 ORDER BY city LIMIT 3")
-    assert got == ["LIMIT 3", "  SORT city ASC", "    GROUP BY users.city", "      aggregates: count(*), sum(users.age)", "      having: count(*) > 2", "      SCAN users", "        filter: users.age > 18"]
+    db.query("CREATE TABLE people (name text NOT NULL, mail text, age int, town text)")
+    db.query("CREATE TABLE buys (who text, price int, status text)")
+    db.query("CREATE UNIQUE INDEX ON people (mail)")
+    db.query("CREATE INDEX ON buys (who)")
+    plan = lambda sql, v=None: [r[0] for r in rows(db, "EXPLAIN " + sql, v)]
+    assert plan("SELECT * FROM people WHERE age >= 30") == ["SCAN people", "  filter: people.age >= 30"]
+    assert plan("SELECT * FROM people WHERE id = 'K7'") == ["POINT LOOKUP people.id = 'K7'"]
+    assert plan("SELECT name FROM people WHERE mail = ?", ["x" * 80]) == [f"INDEX LOOKUP people.mail = '{'x' * 32}...'"]
+    assert plan("SELECT name FROM people WHERE town = 'lugo'") == ["SCAN people  (equality town = 'lugo', no index)"]
+    assert plan("SELECT * FROM people WHERE town = NULL") == ["NO ACCESS people  (equality on NULL matches no row)"]
+    assert plan("SELECT name FROM people WHERE age < 66 ORDER BY name DESC LIMIT 10 OFFSET 5") == ["LIMIT 10 OFFSET 5", "  SORT people.name DESC", "    SCAN people", "      filter: people.age < 66"]
+    got = plan("SELECT p.name, b.price FROM people p JOIN buys b ON b.who = p.id WHERE p.age < 66 AND b.price > 100")
+    assert got == ["JOIN INNER (index nested-loop)", "  on: p.id = b.who", "  streamed: no joined rows are materialized", "  SCAN p", "    filter: p.age < 66", "  INDEX PROBE b.who = p.id", "    filter: b.price > 100"]
+    assert plan("SELECT p.name FROM people p JOIN buys b ON b.status = p.town") == ["JOIN INNER (hash join)", "  on: p.town = b.status", "  SCAN p", "  SCAN b"]
+    got = plan("SELECT town, count(*), sum(age) FROM people WHERE age != 5 GROUP BY town HAVING count(*) > 2 ORDER BY town LIMIT 3")
+    assert got == ["LIMIT 3", "  SORT town ASC", "    GROUP BY people.town", "      aggregates: count(*), sum(people.age)", "      having: count(*) > 2", "      SCAN people", "        filter: people.age != 5"]
     with pytest.raises(E.ColumnNotFound):
-        plan("SELECT nope FROM users")
+        plan("SELECT nope FROM people")
 
 
 def test_snapshots_and_transactions(db):
