@@ -21,7 +21,7 @@ def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet").cache()
 
 
-# exact ---------------------------------------------------------------------------------------------------------
+# exact
 def test_cuckoo_filter_grows_and_forgets():
     rng = np.random.default_rng(1)
     live = exact_dedup.LiveDigests()
@@ -67,7 +67,7 @@ def test_cuckoo_index(spark):
     assert {r.doc_id: r.live for r in index.lookup(frame((9, "a"), (8, "b"))).collect()} == {9: False, 8: True}
 
 
-# near ----------------------------------------------------------------------------------------------------------
+# near
 def jaccard_components(rows, threshold, k=3):
     sets = {}
     for i, t in rows:
@@ -118,7 +118,7 @@ def test_near_large_groups(spark):
     assert {group[n] for n in range(300)} == {0} and all(group[1000 + n] == 1000 + n for n in range(100))
 
 
-# passages ------------------------------------------------------------------------------------------------------
+# passages
 def brute_passages(rows, window):
     seen, out = {}, set()
     for i, t in rows:

@@ -62,7 +62,7 @@ def test_blocks_messy(messy, empty):
     assert token_codec.encode(empty).count() == 0
 
 
-# packing -------------------------------------------------------------------------------------------------------
+# packing
 def check_packing(rows, lengths, capacity):
     """Every token once, no bin too full; returns the number of bins."""
     fill, tokens = Counter(), Counter()
@@ -106,7 +106,7 @@ def test_packing_messy(messy, empty):
     assert packing.pack(empty).count() == 0
 
 
-# pipeline ------------------------------------------------------------------------------------------------------
+# pipeline
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -20,7 +20,7 @@ def labels(spark):
     return spark.read.parquet(f"{LARGER}/labels.parquet").cache()
 
 
-# quality -------------------------------------------------------------------------------------------------------
+# quality
 def test_quality_held_out(spark):
     d, lab = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = quality.fit(d, lab.where("doc_id % 2 = 0"))
@@ -49,7 +49,7 @@ def test_quality_messy(messy, empty, labels, spark):
     assert quality.score(empty, quality.fit(empty, labels)).count() == 0
 
 
-# toxicity ------------------------------------------------------------------------------------------------------
+# toxicity
 def test_toxicity_held_out(spark):
     d, lab = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = toxicity.score(d, toxicity.fit(d, lab.where("doc_id % 2 = 0"))).withColumnRenamed("toxic", "says").join(lab.where("doc_id % 2 = 1"), "doc_id").toPandas()
@@ -76,7 +76,7 @@ def test_boosting_and_isotonic():
     assert (np.diff(p) >= 0).all() and abs(p.mean() - y[2000:].mean()) < 0.05
 
 
-# language ------------------------------------------------------------------------------------------------------
+# language
 def test_language_held_out(docs, spark):
     model = langid.fit_text(langid.labelled_rows(docs.where("doc_id % 2 = 0")))
     got = langid.identify(langid.document_rows(docs), model).join(docs.where("doc_id % 2 = 1").select("doc_id", F.col("lang").alias("is")), "doc_id").toPandas()
@@ -103,7 +103,7 @@ def test_language_messy(messy, empty, docs):
     assert all(r.lang is None for r in langid.identify(langid.document_rows(messy), none).collect())
 
 
-# identifiers ---------------------------------------------------------------------------------------------------
+# identifiers
 def test_identifiers(spark):
     rows = [
         (1, "write to ann.lee@mail.example.com, or call +1 (201) 555-0134 now"),
@@ -134,7 +134,7 @@ def test_identifier_offsets_and_mess(spark, messy, empty):
     assert pii.identifiers(messy).count() == 0 and pii.identifiers(empty).count() == 0
 
 
-# benchmark passages --------------------------------------------------------------------------------------------
+# benchmark passages
 def brute_matches(texts, items, threshold):
     """(doc, item) by weighted bigram similarity of every window, without fingerprints."""
     out = {}
