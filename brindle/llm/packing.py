@@ -176,7 +176,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     paths = []
     for n in range(EPOCHS):
         last = n == EPOCHS - 1
-        spread = state.repartition("shard", "island")
+        # Rows of much work and few bytes: the number of partitions is set, lest they are put together by size.
+        spread = state.repartition(max(1, min(-(-shards * ISLANDS // 8), 20_000)), "shard", "island")
         done, at = cut(spread.mapInPandas(_run_epoch(capacity, n, last), "shard long, island int, population binary, elite binary, score double"))
         paths.append(at)
         if not last:
