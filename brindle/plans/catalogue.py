@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brindle.engine import Engine
@@ -15,6 +16,7 @@ from brindle.functions.collation import LETTERS
 from brindle.functions.text import tokens
 from brindle.functions.vectors import distance, quantize
 from brindle.operators import dml, search
+from brindle.storage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,6 +186,36 @@ dialect(
 )
 dialect("order_collate_binary", "SELECT doc_id FROM documents ORDER BY text COLLATE binary DESC, doc_id LIMIT 200", "SELECT doc_id FROM documents ORDER BY text DESC, doc_id LIMIT 200")
 dialect("order_unprojected", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+
+
+def _places(name: str, sql: str, oracle: str) -> None:
+    """Register an ORDER BY over a whole table as rows with their ``place`` from 1 on, so that the order itself is compared.
+
+    Each sorted partition is numbered by itself and starts where the ones before it end.
+    """
+
+    @query(name, oracle)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ordered = engine(spark, sf_dir, *_tables(sql)).sql(sql)
+        rows, _ = cut(ordered.withColumn("_p", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+        sizes = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+        before = sizes.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_before"))
+        return rows.join(F.broadcast(before), "_p").select(*ordered.columns, (F.col("_before") + F.col("_at") + 1).alias("place"))
+
+
+_places(
+    "order_nulls_place", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id ORDER BY l.quality DESC, d.doc_id",
+    "SELECT d.doc_id, CAST(l.quality AS BIGINT) AS quality, row_number() OVER (ORDER BY l.quality DESC NULLS LAST, d.doc_id) AS place FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
+)
+_places(
+    "order_collate_unicode_place", "SELECT doc_id FROM documents ORDER BY text, doc_id",
+    f"SELECT doc_id, row_number() OVER (ORDER BY replace(translate(text, '{_FOLD}', '{_BASE}'), 'ñ', 'n' || chr(1114111)) NULLS FIRST, "
+    f"translate(regexp_replace(text, '[^{''.join(LETTERS)}]', chr(1), 'g'), '{''.join(LETTERS)}', '{_RANKS}'), "
+    "regexp_replace(regexp_replace(text, '[^\\p{Lu}]', '0', 'g'), '\\p{Lu}', '1', 'g'), doc_id) AS place FROM documents",
+)
+_places("order_collate_binary_place", "SELECT doc_id FROM documents ORDER BY text COLLATE binary DESC, doc_id", "SELECT doc_id, row_number() OVER (ORDER BY text DESC NULLS LAST, doc_id) AS place FROM documents")
+_places("order_unprojected_place", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS place FROM orders")
+
 dialect("topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 dialect("limit_zero", "SELECT o_orderkey FROM orders LIMIT 0")
 dialect("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 100")
