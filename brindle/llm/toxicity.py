@@ -2,8 +2,8 @@
 
 The features are lexicon densities (a seed lexicon, words and word beginnings learned from the labels),
 second-person proximity, capitals, punctuation, symbol and obfuscation rates and repetition.  The lexicon
-comes from all labelled documents: a unit enters if its log odds of toxic against clean documents are
-high and significant.  The trees are fitted to about ``SAMPLE`` labelled rows at most, with
+comes from all labelled documents: a unit in at least ``LEAST`` toxic ones enters if its log odds of toxic
+against clean documents are high and significant, so the lexicon grows with the labels.  The trees are fitted to about ``SAMPLE`` labelled rows at most, with
 features from a lexicon of the other half of the documents, so that no row is judged by words that it
 brought in; scores are calibrated on the third of the sample that the trees did not see.
 
@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from brindle.llm import textkit as tk
 from brindle.llm.boosting import Boosted, Isotonic
-from brindle.llm.common import q, small, table
+from brindle.llm.common import BitFilter, q, small, table
 from brindle.storage import cut, drop
 
-SAMPLE, REJECT, PREFIX, NEAR = 20_000, 0.5, 5, 6
+SAMPLE, REJECT, PREFIX, NEAR, LEAST = 20_000, 0.5, 5, 6, 3
 SEED_WORDS = "idiot idiots moron morons stupid dumb loser losers scum trash worthless pathetic disgusting clown jerk creep filth garbage imbecile freak".split()
 SECOND_PERSON = "you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deinen ihr euch euer tú ti tus usted ustedes vosotros".split()
 
@@ -123,14 +123,14 @@ def _distinct_units(words: tk.Words) -> tuple[np.ndarray, np.ndarray]:
     return d[new], u[new]
 
 
-def _count(only: np.ndarray | None) -> Callable:
+def _count(only: BitFilter | None) -> Callable:
     """Partial document counts of units by fold: (u, n0, n1), over rows (t, fold)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in tk.chunks(batches, "t"):
             d, u = _distinct_units(tk.Words(data, offsets))
             if only is not None:
-                keep = is_in(u, only)
+                keep = only.passes(u)
                 d, u = d[keep], u[keep]
             unit, at = np.unique(u, return_inverse=True)
             fold = rows.column(rows.schema.get_field_index("fold")).to_numpy(zero_copy_only=False)[d]
@@ -147,22 +147,21 @@ def _learn(labelled: DataFrame) -> tuple[list[Lexicon], float]:
     for y, fold, n in labelled.groupBy("y", "fold").count().collect():
         sizes[y, fold] = n
     counted = lambda y, only: labelled.where(F.col("y") == y).select("t", "fold").mapInArrow(_count(only), "u long, n0 long, n1 long").groupBy("u").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    # A unit of the lexicon is in a share of the toxic documents, so there are at most units-a-document / share of them.
-    least = max(3, int(0.005 * sizes[1].sum()))
-    toxic = counted(1, None).where(F.col("n0") + F.col("n1") >= least).toPandas()
-    units = toxic["u"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(units)
-    units, t = units[order], toxic[["n0", "n1"]].to_numpy(float)[order]
-    c = np.zeros((len(units), 2))
-    clean = counted(0, units).toPandas()
-    c[np.searchsorted(units, clean["u"].to_numpy(np.int64).view(np.uint64))] = clean[["n0", "n1"]].to_numpy(float)
-    out = []
-    for folds in ([0], [1], [0, 1]):
-        nt, nc = t[:, folds].sum(axis=1), c[:, folds].sum(axis=1)
-        n1, n0 = sizes[1, folds].sum(), sizes[0, folds].sum()
-        odds = np.log((nt + 0.5) / (n1 - nt + 0.5)) - np.log((nc + 0.5) / (n0 - nc + 0.5))
-        z = odds / np.sqrt(1 / (nt + 0.5) + 1 / (nc + 0.5))
-        out.append(Lexicon(units[(odds > 2.5) & (z > 4)], units[(odds > 1.5) & (z > 2.3)]))
+    toxic, toxic_at = cut(counted(1, None).where(F.col("n0") + F.col("n1") >= LEAST))
+    # Clean documents bring only units that may be among the toxic ones; what the filter lets pass besides has no partner in the join.
+    clean = counted(0, BitFilter(toxic.select("u"))).select("u", F.col("n0").alias("c0"), F.col("n1").alias("c1"))
+    both = toxic.join(clean, "u", "left").fillna(0, ["c0", "c1"])
+    tests = []
+    for k, folds in enumerate(([0], [1], [0, 1])):
+        nt, nc = sum(F.col(f"n{f}") for f in folds), sum(F.col(f"c{f}") for f in folds)
+        n1, n0 = float(sizes[1, folds].sum()), float(sizes[0, folds].sum())
+        odds = F.log((nt + 0.5) / (n1 - nt + 0.5)) - F.log((nc + 0.5) / (n0 - nc + 0.5))
+        z = odds / F.sqrt(1 / (nt + 0.5) + 1 / (nc + 0.5))
+        tests += [((odds > 2.5) & (z > 4)).alias(f"strong{k}"), ((odds > 1.5) & (z > 2.3)).alias(f"weak{k}")]
+    passed = both.select("u", *tests).where(" or ".join(f"strong{k} or weak{k}" for k in range(3))).toPandas()
+    units = passed["u"].to_numpy(np.int64).view(np.uint64)
+    out = [Lexicon(units[passed[f"strong{k}"].to_numpy(bool)], units[passed[f"weak{k}"].to_numpy(bool)]) for k in range(3)]
+    drop(spark, toxic_at)
     return out, float(sizes[1].sum() / max(1.0, sizes.sum()))
 
 

@@ -66,6 +66,16 @@ def test_toxicity_messy(messy, empty, labels, spark):
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
 
 
+def test_toxicity_learns_rare_words(spark):
+    """A word in nine of 2,000 toxic documents and in no clean one is significant, however small its share."""
+    y = F.when(F.col("id") < 2000, 1).otherwise(0)
+    text = F.concat(F.lit("some plain words here "), F.when(F.col("id") < 9, "zorgle").when(F.col("id") < 11, "twice").otherwise("and there"))
+    rows = spark.range(18_000).select("id", text.alias("t"), y.alias("y"), (F.col("id") % 2).cast("int").alias("fold"))
+    whole = toxicity._learn(rows)[0][2]
+    found = lambda word: toxicity.is_in(toxicity.word_hashes([word]), whole.weak).all()
+    assert found("zorgle") and not found("twice") and not found("plain") and not found("there")
+
+
 def test_boosting_and_isotonic():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 4))
