@@ -10,6 +10,11 @@ rounds of joins over their graph: a pattern's confidence is the mean score of it
 ``DAMP`` unknown ones; an instance's score is the noisy-or of its patterns of at least ``CONFIDENT`` with
 ``SUPPORT`` good instances.  Instances of at least ``ACCEPT`` are identifiers, also where no seed rule knew them.
 
+After each round but the last, confident patterns of two context words take whatever stands in their slot,
+of any form: a run of tokens with digits, or one token.  A string that stands in such slots in less than
+``SHARE`` of its occurrences is a counter-example, so a slot that ordinary words fill loses its confidence;
+the others are new instances of the slot's kind and take part in the next round.
+
 Defined results: one row (``doc_id``, ``kind``, ``start``, ``end``, ``value``, ``score``, ``seed``) for each
 occurrence, with character offsets in the text.  Null and empty texts have none; rows with a null or
 repeated ``doc_id`` give theirs like any other; an empty table gives no rows; other columns are ignored.
@@ -18,18 +23,20 @@ repeated ``doc_id`` give theirs like any other; an empty table gives no rows; ot
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import q, small, table
+from brindle.llm.common import BitFilter, q, small, table
 from brindle.llm.textkit import chunks
 from brindle.storage import cut, drop
 
-ROUNDS, DAMP, CONFIDENT, SUPPORT, ACCEPT = 3, 1.0, 0.75, 3, 0.75
+ROUNDS, DAMP, CONFIDENT, SUPPORT, ACCEPT, SHARE = 3, 1.0, 0.75, 3, 0.75, 0.5
 MAIL = r"(?P<email>[\w.+\-]{1,64}@[\w\-]+(?:\.[\w\-]+)+)"
 REST = (
     r"(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))"
@@ -39,6 +46,10 @@ REST = (
 )
 ISSUER = re.compile(r"4|5[1-5]|2[2-7]|3[47]|6(?:011|5)")
 ANNOUNCED = re.compile(r"(?i)(?:token|secret|key|password|passwd|pwd)\W{0,4}$")
+UNIT = re.compile(r"\S*\d\S*(?: \S*\d\S*)*|\S+")
+EDGE = "\"'`()[]{}<>=:,;.!?"
+RUN = re.compile(r"\d\S* \S*\d")
+LEAD = re.compile(r"[\w.\-]*(?:=|[=:][\"'])(?=\w)")
 SCHEMA = "doc_id long, kind string, start int, end int, value string, seed double, patterns array<string>"
 
 
@@ -66,7 +77,7 @@ def checked(kind: str, value: str, before: str) -> tuple[float | None, str]:
     """(1 for a seed, 0 for a counter-example, None for unknown; the checks' results as a word)."""
     if kind == "email":
         tail = value.rsplit(".", 1)[1]
-        return (1.0 if tail.isalpha() and tail.islower() and 2 <= len(tail) <= 12 and value[0].isalnum() else None), "form"
+        return (1.0 if tail.isalpha() and 2 <= len(tail) <= 12 and value[0].isalnum() else None), "form"
     if kind == "ip":
         good = all(int(x) <= 255 for x in value.split("."))
         return (1.0 if good else 0.0), "octets" if good else "no octets"
@@ -84,25 +95,65 @@ def checked(kind: str, value: str, before: str) -> tuple[float | None, str]:
     return (1.0 if ANNOUNCED.search(before) and len(value) >= 20 else None), f"{'hex' if hexadecimal else 'code'} of {len(value) // 8 * 8}"
 
 
+def around(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
+    """The two words before and the one after a span, numbers as 9."""
+    before, after = text[max(0, start - 64) : start], text[end : end + 32]
+    return re.sub(r"\d+", "9", before.lower()).split()[-2:], re.sub(r"\d+", "9", after.lower()).split()[:1]
+
+
+def slot_patterns(kind: str, left: list[str], right: list[str]) -> list[str]:
+    """Patterns of two context words, whatever the form between them."""
+    out = [f"{kind}|[{' '.join(left)}"] if len(left) == 2 else []
+    return out + [f"{kind}|[{left[-1]}\t{right[0]}"] if left and right else out
+
+
 def found_in(text: str) -> Iterator[tuple[str, int, int, str, float | None, list[str]]]:
     """Candidates of a text: kind, start, end, value, seed mark and patterns."""
     pattern = _WITH_MAIL if "@" in text else _WITHOUT
     for m in pattern.finditer(text):
         kind, value = m.lastgroup, m.group()
-        before, after = text[max(0, m.start() - 64) : m.start()], text[m.end() : m.end() + 32]
-        seed, word = checked(kind, value, before)
-        left = re.sub(r"\d+", "9", before.lower()).split()[-2:]
-        right = re.sub(r"\d+", "9", after.lower()).split()[:1]
-        patterns = [f"{kind}|{'' if kind == 'secret' else shape(value)}|{word}"]
+        seed, word = checked(kind, value, text[max(0, m.start() - 64) : m.start()])
+        left, right = around(text, *m.span())
+        patterns = [f"{kind}|{'' if kind == 'secret' else shape(value)}|{word}", *slot_patterns(kind, left, right)]
         if left:
             patterns += [f"{kind}|<{left[-1]}", f"{kind}|<{' '.join(left)}|{word}"]
         if right:
             patterns.append(f"{kind}|>{right[0]}")
-        if left and right:
-            patterns.append(f"{kind}|<{left[-1]}>{right[0]}")
         yield kind, m.start(), m.end(), value, seed, patterns
 
 
+def units(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Start, end, value and the word before of whatever may stand in a slot, without quotes and punctuation around it."""
+    last = ""
+    for m in UNIT.finditer(text):
+        unit, at = m.group(), m.start()
+        lead = LEAD.match(unit)
+        a = lead.end() if lead else len(unit) - len(unit.lstrip(EDGE))
+        value = unit[a:].rstrip(EDGE)
+        if value:
+            yield at + a, at + a + len(value), value, unit[:a] or last
+        last = unit.rsplit(" ", 1)[-1]
+
+
+def uncovered(text: str, spans: list[tuple]) -> list[tuple]:
+    """The spans (start, end, ...) that no candidate covers at their start."""
+    if not spans:
+        return spans
+    known = [(start, end) for _, start, end, *_ in found_in(text)]
+    return [x for x in spans if not any(start <= x[0] < end for start, end in known)]
+
+
+def slots_in(text: str, kinds: dict[str, set[str]], confident: set[str]) -> list[tuple[int, int, str, str, list[str]]]:
+    """(start, end, value, kind, patterns) of what stands in the slots of confident patterns; kinds by the word before."""
+    out = []
+    for start, end, value, last in units(text):
+        for kind in kinds.get(re.sub(r"\d+", "9", last.lower()), ()):
+            patterns = [p for p in slot_patterns(kind, *around(text, start, end)) if p in confident]
+            if patterns:
+                out.append((start, end, value, kind, patterns))
+    return uncovered(text, out)
+
+
 _WITH_MAIL, _WITHOUT = re.compile(f"{MAIL}|{REST}"), re.compile(REST)
 
 
@@ -123,22 +174,108 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(q(id_col).cast("long").alias("doc_id"), q(text_col).alias("t")).where("t is not null").mapInArrow(run, SCHEMA)
 
 
-def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(instances (kind, value, mark, score), patterns (pattern, confidence)) of a cut candidate table."""
+def _texts(docs: DataFrame, per_text: Callable, schema: str, names: list[str], types: list[pa.DataType], merge: bool = False) -> DataFrame:
+    """Rows that ``per_text(doc_id, text)`` lists for each text; ``merge`` adds their number to the distinct rows of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            rows = [row for doc_id, text in pairs for row in per_text(doc_id, text)]
+            if merge:
+                rows = [(*row, n) for row, n in Counter(rows).items()]
+            if rows:
+                yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*rows), types)], names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def occurrences(docs: DataFrame, values: DataFrame) -> DataFrame:
+    """(doc_id, start, end, value) of units that may be among the written ``values``; whoever joins them drops the rest."""
+    maybe = BitFilter(values.select(F.crc32(F.col("value").cast("binary")).alias("h")).distinct())
+
+    def per_text(doc_id: int | None, text: str) -> list[tuple]:
+        spans = list(units(text))
+        passed = maybe.passes(np.array([zlib.crc32(x[2].encode()) for x in spans], np.int64)) if spans else ()
+        return [(doc_id, *x[:3]) for x in uncovered(text, [x for x, p in zip(spans, passed) if p])]
+
+    return _texts(docs, per_text, "doc_id long, start int, end int, value string", ["doc_id", "start", "end", "value"], [pa.int64(), pa.int32(), pa.int32(), pa.string()])
+
+
+def total_counts(docs: DataFrame, values: DataFrame) -> DataFrame:
+    """(value, total): the occurrences of units, and of single tokens in longer ones, that may be among the written ``values``."""
+    maybe = BitFilter(values.select(F.crc32(F.col("value").cast("binary")).alias("h")).distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, seen = Counter(), Counter()
+            for text in batch.column(1).to_pylist():
+                words.update(text.split())
+                if RUN.search(text):
+                    seen.update(value for _, _, value, _ in units(text) if " " in value)
+            for word, n in words.items():
+                for _, _, value, _ in units(word):
+                    seen[value] += n
+            if seen:
+                keep = maybe.passes(np.array([zlib.crc32(v.encode()) for v in seen], np.int64))
+                yield pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["value", "n"]).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, "value string, n long").groupBy("value").agg(F.sum("n").alias("total"))
+
+
+def proposals(docs: DataFrame, patterns: DataFrame) -> tuple[DataFrame, list[str]] | None:
+    """(kind, value, pattern, mark) of what stands in the slots of confident patterns, and written paths; None without such patterns.  ``docs`` is (doc_id, t)."""
+    confident = {r.pattern for r in patterns.where(F.col("pattern").rlike(r"^[a-z]+\|\[")).select("pattern").collect()}
+    kinds: dict[str, set[str]] = {}
+    for p in confident:
+        kind, context = p.split("|[", 1)
+        kinds.setdefault(context.split("\t")[0].rsplit(" ", 1)[-1], set()).add(kind)
+    if not confident:
+        return None
+
+    # A text that lacks a part of every pattern has no slot: most texts end here.
+    parts = [context.split("\t") for context in sorted({p.split("|[", 1)[1] for p in confident})]
+
+    def per_text(_: int | None, text: str) -> list[tuple]:
+        low = " ".join(re.sub(r"\d+", "9", text.lower()).split())
+        if not any(all(part in low for part in x) for x in parts):
+            return []
+        return [(kind, value, p) for _, _, value, kind, patterns in slots_in(text, kinds, confident) for p in [*patterns, ""]]
+
+    raw = _texts(docs, per_text, "kind string, value string, pattern string, n long", ["kind", "value", "pattern", "n"], [pa.string(), pa.string(), pa.string(), pa.int64()], merge=True)
+    edges, edges_at = cut(raw.groupBy("kind", "value", "pattern").agg(F.sum("n").alias("n")))
+    total, total_at = cut(total_counts(docs, edges.select("value").distinct()))
+    inside = edges.where("pattern = ''").join(total, "value").select("kind", "value", F.when(F.col("n") < SHARE * F.col("total"), 0.0).alias("mark"))
+    return edges.where("pattern != ''").join(inside, ["kind", "value"]).select("kind", "value", "pattern", "mark"), [edges_at, total_at]
+
+
+def bootstrap(found: DataFrame, rounds: int = ROUNDS, docs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(instances (kind, value, mark, score, slot), patterns (pattern, confidence)) of a cut candidate table.
+
+    With ``docs`` (doc_id, t), slots of confident patterns propose instances between the rounds; ``slot`` marks those.
+    """
     spark = found.sparkSession
     # An instance that an announcing word made a seed once is one everywhere.
-    instances, instances_at = cut(found.groupBy("kind", "value").agg(F.max("seed").alias("mark")).withColumn("score", F.coalesce("mark", F.lit(0.0))))
+    instances, instances_at = cut(found.groupBy("kind", "value").agg(F.max("seed").alias("mark")).withColumn("score", F.coalesce("mark", F.lit(0.0))).withColumn("slot", F.lit(False)))
     edges, edges_at = cut(found.select("kind", "value", F.explode("patterns").alias("pattern")).distinct())
     patterns = None
-    for _ in range(rounds):
+    for turn in range(rounds):
         scored = edges.join(instances, ["kind", "value"])
         strength = F.sum("score") / (F.count(F.lit(1)) + DAMP)
         confident, confident_at = cut(scored.groupBy("pattern").agg(strength.alias("confidence"), F.sum((F.col("score") >= ACCEPT).cast("int")).alias("good")).where((F.col("confidence") >= CONFIDENT) & (F.col("good") >= SUPPORT)))
         belief = edges.join(small(confident, 128), "pattern").groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("belief"))
-        updated = instances.join(belief, ["kind", "value"], "left").select("kind", "value", "mark", F.coalesce("mark", "belief", F.lit(0.0)).alias("score"))
+        updated = instances.join(belief, ["kind", "value"], "left").select("kind", "value", "mark", F.coalesce("mark", "belief", F.lit(0.0)).alias("score"), "slot")
         new, new_at = cut(updated)
         drop(spark, instances_at)
         instances, instances_at, patterns = new, new_at, confident
+        proposed = proposals(docs, confident) if docs is not None and turn < rounds - 1 else None
+        if proposed:
+            rows, paths = proposed
+            rows, rows_at = cut(rows)
+            fresh = rows.groupBy("kind", "value").agg(F.max("mark").alias("mark")).join(instances, ["kind", "value"], "left_anti")
+            new, new_at = cut(instances.unionByName(fresh.select("kind", "value", "mark", F.lit(0.0).alias("score"), F.lit(True).alias("slot"))))
+            wide, wide_at = cut(edges.unionByName(rows.select("kind", "value", "pattern")).distinct())
+            drop(spark, instances_at, edges_at, rows_at, *paths)
+            instances, instances_at, edges, edges_at = new, new_at, wide, wide_at
     drop(spark, edges_at)
     return instances, patterns
 
@@ -146,10 +283,17 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFr
 def identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kind, start, end, value, score, seed) of each identifier."""
     found, _ = cut(candidates(docs, id_col, text_col))
-    instances, _ = bootstrap(found)
-    accepted = instances.where(F.col("score") >= ACCEPT).select("kind", "value", "score", (F.col("mark") == 1).alias("is_seed"))
+    texts = docs.select(q(id_col).cast("long").alias("doc_id"), q(text_col).alias("t")).where("t is not null")
+    instances, _ = bootstrap(found, docs=texts)
+    accepted = instances.where(F.col("score") >= ACCEPT).select("kind", "value", "score", (F.col("mark") == 1).alias("is_seed"), "slot")
     accepted, _ = cut(accepted)
-    return found.join(small(accepted, 96), ["kind", "value"]).select("doc_id", "kind", "start", "end", "value", "score", F.coalesce("is_seed", F.lit(False)).alias("seed"))
+    known = found.join(small(accepted.where("not slot"), 96), ["kind", "value"])
+    out = known.select("doc_id", "kind", "start", "end", "value", "score", F.coalesce("is_seed", F.lit(False)).alias("seed"))
+    others = accepted.where("slot")
+    if others.isEmpty():
+        return out
+    more = occurrences(texts, others.select("value")).join(small(others, 96), "value")
+    return out.unionByName(more.select("doc_id", "kind", "start", "end", "value", "score", F.lit(False).alias("seed")))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

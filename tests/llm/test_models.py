@@ -137,6 +137,17 @@ def test_bootstrapping_finds_what_no_seed_rule_knows(spark):
     assert got[100, False] > 0.75 and all(got[k, True] == 1 for k in range(30)) and not any(k[0] in (101, 102) for k in got)
 
 
+def test_slots_find_other_forms(spark):
+    """Confident contexts take forms that no candidate has; ordinary words in their slots are left alone."""
+    rows = [(k, f"my phone is +1 (201) 555-01{k:02d} today") for k in range(30)]
+    rows += [(100 + k, f'set token = "{"".join(chr(97 + (k * 7 + j * j) % 26) for j in range(19))}{k}" end') for k in range(20)]
+    rows += [(200, "my phone is 123-45-6789 today"), (201, "my phone is broken today"), (202, "a broken hinge, a broken door"), (203, 'set token = "qwhzzkpv" end'), (204, "write ANN.LEE@MAIL.COM soon")]
+    rows += [(205, "my phone is DE89 3704 0044 0532 0130 00 today")]
+    got = [r for r in pii.identifiers(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id >= 200]
+    assert {(r.doc_id, r.value) for r in got} >= {(200, "123-45-6789"), (203, "qwhzzkpv"), (204, "ANN.LEE@MAIL.COM"), (205, "DE89 3704 0044 0532 0130 00")}
+    assert not any(r.doc_id in (201, 202) for r in got) and all(dict(rows)[r.doc_id][r.start : r.end] == r.value for r in got)
+
+
 def test_identifier_offsets_and_mess(spark, messy, empty):
     df = spark.createDataFrame([(1, "é日🙂 mail bob.x@y.example.org!"), (None, "bob.x@y.example.org"), (1, "é日🙂 mail bob.x@y.example.org!")], "doc_id long, text string")
     got = pii.identifiers(df).collect()
