@@ -12,15 +12,16 @@ class Boosted:
         self.trees, self.depth, self.rate, self.bins, self.least = trees, depth, rate, bins, least
         self.base, self.splits, self.leaves = 0.0, [], []
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        rate = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Boosted:
+        w = np.ones(len(y)) if weight is None else weight / weight.mean()
+        rate = np.clip(np.average(y, weights=w), 1e-6, 1 - 1e-6)
         self.base = float(np.log(rate / (1 - rate)))
         edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
         binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T)], axis=1)
         score, inner = np.full(len(y), self.base), (1 << self.depth) - 1
         for _ in range(self.trees):
             p = 1 / (1 + np.exp(-score))
-            grad, hess = y - p, np.maximum(p * (1 - p), 1e-9)
+            grad, hess = w * (y - p), w * np.maximum(p * (1 - p), 1e-9)
             node = np.zeros(len(y), np.int64)
             feature, cut = np.zeros(inner, np.int64), np.full(inner, np.inf)
             for level in range(self.depth):
@@ -64,13 +65,14 @@ class Boosted:
 
 
 class Isotonic:
-    """Pool-adjacent-violators fit of label rates to scores; interpolates between blocks."""
+    """Pool-adjacent-violators fit of weighted label rates to scores; interpolates between blocks."""
 
-    def fit(self, score: np.ndarray, y: np.ndarray) -> Isotonic:
+    def fit(self, score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Isotonic:
         order = np.argsort(score, kind="stable")
-        blocks: list[list[float]] = []  # sum, count, sum of scores
-        for s, v in zip(score[order].tolist(), y[order].tolist()):
-            blocks.append([v, 1.0, s])
+        w = np.ones(len(y)) if weight is None else weight
+        blocks: list[list[float]] = []  # weighted sums of labels, ones and scores
+        for s, v, n in zip(score[order].tolist(), y[order].tolist(), w[order].tolist()):
+            blocks.append([v * n, n, s * n])
             while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
                 last = blocks.pop()
                 for k in range(3):

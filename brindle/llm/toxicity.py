@@ -3,13 +3,17 @@
 The features are lexicon densities (a seed lexicon, words and word beginnings learned from the labels),
 second-person proximity, capitals, punctuation, symbol and obfuscation rates and repetition.  The lexicon
 comes from all labelled documents: a unit in at least ``LEAST`` toxic ones enters if its log odds of toxic
-against clean documents are high and significant, so the lexicon grows with the labels.  The trees are fitted to about ``SAMPLE`` labelled rows at most, with
-features from a lexicon of the other half of the documents, so that no row is judged by words that it
-brought in; scores are calibrated on the third of the sample that the trees did not see.
+against clean documents are high and significant, so the lexicon grows with the labels.  The trees are
+fitted to about ``SAMPLE`` labelled rows at most, half of either kind if there are so many, weighted back to
+their share among all labels; their features come from a lexicon of the other half of the documents, so that
+no row is judged by words that it brought in.  Scores are calibrated on the third of the sample that the
+trees did not see.
 
 Defined results: one row for each row of the table.  Null and empty texts are not toxic (probability 0).
-Without labelled documents of both kinds nothing is toxic.  Labels whose values are null are left out; a
-document that several labels name counts once for each.  Other columns are ignored, or kept by the filter.
+Texts of any length are judged whole; equal texts get equal probabilities, also where scores tie (one step
+of the calibration).  With fewer than three labelled documents of either kind nothing is toxic.  Labels whose
+values are null are left out; a document that several labels name counts once for each.  Other columns are
+ignored, or kept by the filter.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import textkit as tk
 from brindle.llm.boosting import Boosted, Isotonic
-from brindle.llm.common import BitFilter, q, small, table
+from brindle.llm.common import BitFilter, having, q, table
 from brindle.storage import cut, drop
 
 SAMPLE, REJECT, PREFIX, NEAR, LEAST = 20_000, 0.5, 5, 6, 3
@@ -140,8 +144,8 @@ def _count(only: BitFilter | None) -> Callable:
     return run
 
 
-def _learn(labelled: DataFrame) -> tuple[list[Lexicon], float]:
-    """Lexicons from fold 0, from fold 1 and from all rows of the cut table (id, t, y, fold); the toxic share."""
+def _learn(labelled: DataFrame) -> tuple[list[Lexicon], np.ndarray]:
+    """Lexicons from fold 0, from fold 1 and from all rows of the cut table (id, t, y, fold); the number of clean and toxic rows."""
     spark = labelled.sparkSession
     sizes = np.zeros((2, 2))
     for y, fold, n in labelled.groupBy("y", "fold").count().collect():
@@ -162,7 +166,7 @@ def _learn(labelled: DataFrame) -> tuple[list[Lexicon], float]:
     units = passed["u"].to_numpy(np.int64).view(np.uint64)
     out = [Lexicon(units[passed[f"strong{k}"].to_numpy(bool)], units[passed[f"weak{k}"].to_numpy(bool)]) for k in range(3)]
     drop(spark, toxic_at)
-    return out, float(sizes[1].sum() / max(1.0, sizes.sum()))
+    return out, sizes.sum(axis=1)
 
 
 class Model:
@@ -184,10 +188,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     known, known_at = cut(labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y in (0, 1)"))
     texts = docs.select(q(id_col).alias("id"), q(text_col).alias("t")).where("t is not null")
-    labelled, at = cut(texts.join(small(known, 24), "id").withColumn("fold", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2)).cast("int")))
-    lexicons, _ = _learn(labelled)
-    n = labelled.count()
-    picked = labelled if n <= sample else labelled.where(F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 30)) < int((1 << 30) * sample / n))
+    labelled, at = cut(having(texts, F.col("id"), known.select("id")).join(known, "id").withColumn("fold", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2)).cast("int")))
+    lexicons, sizes = _learn(labelled)
+    # Half of the sample for either kind, and what one of them leaves over for the other.
+    most = [max(sample // 2, sample - int(sizes[1 - y])) for y in (0, 1)]
+    share = [min(1.0, most[y] / max(1.0, sizes[y])) for y in (0, 1)]
+    drawn = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 30))
+    picked = labelled.where(drawn < F.when(F.col("y") == 1, int((1 << 30) * share[1])).otherwise(int((1 << 30) * share[0])))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in tk.chunks(batches, "t"):
@@ -200,16 +207,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     found = found.sort_values(["id", "y"], kind="stable", ignore_index=True)  # the fit does not depend on the order of partitions
     drop(spark, known_at, at)
     y = found["y"].to_numpy(float)
-    if not len(y) or y.min() == y.max():
+    if min((y == 0).sum(), (y == 1).sum()) < 3:
         return Model(lexicons[2], None, None)
     x = np.stack(found["x"].to_numpy())
-    hold = np.arange(len(y)) % 3 == 0
-    if y[hold].min() == y[hold].max() or y[~hold].min() == y[~hold].max():
-        hold[:] = True
-        trees = Boosted().fit(x, y)
-    else:
-        trees = Boosted().fit(x[~hold], y[~hold])
-    return Model(lexicons[2], trees, Isotonic().fit(trees.score(x[hold]), y[hold]))
+    weight = np.where(y == 1, 1 / share[1], 1 / share[0])  # probabilities keep the share of toxic rows among all labelled ones
+    rank = np.empty(len(y), np.int64)  # every third row of either kind calibrates
+    for k in (0, 1):
+        rank[y == k] = np.arange(int((y == k).sum()))
+    hold = rank % 3 == 0
+    trees = Boosted().fit(x[~hold], y[~hold], weight[~hold])
+    held = trees.score(x[hold])
+    return Model(lexicons[2], trees, Isotonic().fit(held, y[hold], weight[hold]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
