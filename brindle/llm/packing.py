@@ -166,7 +166,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     pieces, pieces_at = cut(pieces)
     shards = max(1, -(-pieces.count() // SHARD))
     ordered = F.sort_array(F.collect_list(F.struct("n_tokens", "doc_id", "piece")), asc=False)
-    items = pieces.groupBy(F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).alias("shard")).agg(ordered.alias("items"))
+    # The file's place of a row tells equal rows and those without an id apart; the table is written, so it is the same if a task is run again.
+    salted = pieces.select("*", F.xxhash64("doc_id", "piece", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("salt"))
+    items = salted.groupBy(F.pmod("salt", F.lit(shards)).alias("shard")).agg(ordered.alias("items"))
     items, items_at = cut(items)
     sizes = items.select("shard", F.col("items.n_tokens").alias("n")).mapInPandas(
         lambda frames: (pd.DataFrame({"shard": f["shard"], "sizes": [np.asarray(x, np.int32).tobytes() for x in f["n"]]}) for f in frames), "shard long, sizes binary"
