@@ -13,7 +13,9 @@ The registered query judges ``pages`` (text without markup, declared ``lang``, a
 Defined results: one row for each row of either table (``doc_id`` or ``page_id`` is null), with the most
 probable language (the first in the alphabet of equals) and its probability.  Without text evidence the
 rest decides; ``lang`` is null if a row has no trigrams, no declared language and no host, or if there are
-no labelled rows.  Repeated ids are a row each time; other columns are ignored.
+no labelled rows.  Rows without ``lang`` are judged like others and teach nothing.  A script or comment that
+is not closed takes the rest of its page.  Texts of any length are read whole; repeated ids are a row each
+time; an empty table adds no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import textkit as tk
-from brindle.llm.common import q, small, table
+from brindle.llm.common import q, table
 from brindle.storage import cut, drop
 
 SAMPLE, BITS, TEMPER, ALPHA_HOST, ALPHA_DOMAIN = 2_000, 15, 0.3, 5.0, 20.0
@@ -104,7 +106,7 @@ def fit_text(labelled: DataFrame, sample: int = SAMPLE, seed: int = 17) -> TextM
 def page_rows(pages: DataFrame) -> DataFrame:
     """(doc_id, page_id, t, declared, host) of pages (page_id, url, html)."""
     html = F.col("html")
-    text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>|&[#a-zA-Z0-9]{1,9};", " ")
+    text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b(?:.*?</\1\s*>|.*\z)|<!--(?:.*?-->|.*\z)", " "), r"(?s)<[^>]*>|&[#a-zA-Z0-9]{1,9};", " ")
     declared = F.lower(F.regexp_extract(html, r"""(?i)<html\b[^>]*?\slang\s*=\s*["']?([a-z]{2,3})\b""", 1))
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     return pages.select(F.lit(None).cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), text.alias("t"), F.nullif(declared, F.lit("")).alias("declared"), F.nullif(host, F.lit("")).alias("host"))
@@ -150,7 +152,7 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     def counts(key: str) -> DataFrame:
         out, path = cut(scored.where(F.col(key).isNotNull()).groupBy(key).agg(*votes).select(key, vector(f"{key}_votes")))
         paths.append(path)
-        return small(out, 64 + 8 * n)
+        return out
 
     df = scored
     for key in ("host", "domain", "declared", "suffix"):

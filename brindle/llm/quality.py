@@ -1,18 +1,20 @@
 """Quality by positive-unlabelled learning with the non-negative risk estimator (Kiryo et al., 2017).
 
-Trusted positives are documents whose label says so; all others are unlabelled, whatever their label.
-The class prior is estimated first: a logistic model tells positives from unlabelled rows, and on rows
-held out the least ratio of unlabelled to positive rows above a score, with its standard error, bounds
-the share of positives (Blanchard et al., 2010).  Then an additive model over binned features of the text's shape minimises
-``prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))`` with the sigmoid loss; where
-the second term falls below zero its gradient is followed upwards, as in the paper.
+Trusted positives are documents whose label says so; the unlabelled rows are drawn from all rows, whatever
+their label, as the estimator assumes.  The class prior comes first: a logistic model tells positives from
+unlabelled rows of one half of the ids, and over all rows of the other half, counted by a grouped
+aggregation, the least ratio of unlabelled to positive rows above a score, with its standard error, bounds
+the share of positives (Blanchard et al., 2010).  Then an additive model over binned features of the text's
+shape minimises ``prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))`` with the sigmoid
+loss; where the second term falls below zero its gradient is followed upwards, as in the paper.
 
 Both fits see at most about ``SAMPLE`` positives and ``SAMPLE`` unlabelled rows, drawn by a hash of
-``doc_id``; every row of the table is scored over its whole text.
+``doc_id``; the prior is counted over all rows of its half, and every row is scored over its whole text.
 
 Defined results: one row for each row of the table.  Null texts and texts without words are not good
-(score null).  Without positives, or unlabelled rows, every text with words is good (score null).  A
-repeated ``doc_id`` is a row each time; a label with nulls is no label.  Other columns are ignored or kept.
+(score null).  Without positives, or texts, every text with words is good (score null).  Texts of any
+length are scored whole; equal texts get equal scores, and a score of one half is not good.  A repeated
+``doc_id`` is a row each time; a label with nulls is no label.  Other columns are ignored or kept.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import textkit as tk
-from brindle.llm.common import q, small, table
+from brindle.llm.common import q, table
 from brindle.storage import cut, drop
 
 SAMPLE, BINS, STEPS, BATCH, RATE, DECAY = 20_000, 16, 1200, 1024, 0.02, 1e-4
@@ -105,21 +107,38 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray, n: int, rng: np.random.Generator) -> float:
-    """The share of positives among unlabelled rows, from a score fitted on one half and counted on the other."""
-    fit = Adam(n)
-    half_p, half_u = len(p) // 2, len(u) // 2
-    if half_p < 20 or half_u < 20:
-        return 0.5
-    for _ in range(STEPS // 2):
-        bp, bu = p[rng.integers(0, half_p, BATCH)], u[rng.integers(0, half_u, BATCH)]
-        zp, zu = (fit.w[b].sum(axis=1) + fit.w[-1] for b in (bp, bu))
-        fit.step(_gradient(bp, _sigmoid(zp) - 1, n) + _gradient(bu, _sigmoid(zu), n) + DECAY * fit.w, RATE)
-    sp, su = (fit.w[b].sum(axis=1) for b in (p[half_p:], u[half_u:]))
-    cuts = np.quantile(sp, np.linspace(0.02, 0.8, 40))
-    share_p, share_u = np.array([(sp >= c).mean() for c in cuts]), np.array([(su >= c).mean() for c in cuts])
+class Separator:
+    """A logistic score that tells positives from unlabelled rows, and cuts of it for counting."""
+
+    def __init__(self, bins: Binned, p: np.ndarray, u: np.ndarray, rng: np.random.Generator):
+        n = int(bins.first[-1]) + 1
+        fit = Adam(n)
+        for _ in range(STEPS // 2):
+            bp, bu = p[rng.integers(0, len(p), BATCH)], u[rng.integers(0, len(u), BATCH)]
+            zp, zu = (fit.w[b].sum(axis=1) + fit.w[-1] for b in (bp, bu))
+            fit.step(_gradient(bp, _sigmoid(zp) - 1, n) + _gradient(bu, _sigmoid(zu), n) + DECAY * fit.w, RATE)
+        self.bins, self.weights = bins, fit.w
+        self.cuts = np.unique(np.quantile(fit.w[p].sum(axis=1), np.linspace(0.02, 0.8, 40)))
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """How many cuts each row of features reaches."""
+        return np.searchsorted(self.cuts, self.weights[self.bins(x)].sum(axis=1), "right")
+
+
+def prior_of(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows, from how many rows of either kind reach 0, 1, ... cuts.
+
+    The least ratio of shares above a cut with its standard error bounds it; few rows have a wide error, so
+    that the bound is then near 1.
+    """
+    n_p, n_u = max(1, positive.sum()), max(1, unlabelled.sum())
+    above = lambda n, total: n[::-1].cumsum()[::-1][1:] / total
+    share_p, share_u = above(positive, n_p), above(unlabelled, n_u)
+    share_p, share_u = share_p[share_p > 0], share_u[share_p > 0]
+    if not len(share_p):
+        return 0.98
     ratio = share_u / share_p
-    error = ratio * np.sqrt((1 - share_p) / (share_p * len(sp)) + (1 - share_u) / (np.maximum(share_u, 1e-9) * len(su)))
+    error = ratio * np.sqrt((1 - share_p) / (share_p * n_p) + (1 - share_u) / (np.maximum(share_u, 1 / n_u) * n_u)) + 1 / (n_u * share_p)
     return float(np.clip((ratio + error).min(), 0.02, 0.98))
 
 
@@ -143,22 +162,22 @@ class Model:
         return p, worded & ~(g <= 0)
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 3) -> Model:
-    """Estimate the prior and minimise the non-negative risk."""
-    if not len(positive) or not len(unlabelled):
-        return Model(None, None, 1.0)
-    rng = np.random.default_rng(seed)
-    bins = Binned(np.concatenate([positive, unlabelled]))
-    p, u = bins(positive[rng.permutation(len(positive))]), bins(unlabelled[rng.permutation(len(unlabelled))])
+def nonnegative_risk(sp: np.ndarray, su: np.ndarray, prior: float) -> tuple[float, float]:
+    """(risk, its negative part) of a batch's sigmoids: ``prior * R+(p)`` and ``R-(u) - prior * R-(p)`` under the sigmoid loss."""
+    negative = float(su.mean() - prior * sp.mean())
+    return float(prior * (1 - sp).mean() + max(0.0, negative)), negative
+
+
+def train(bins: Binned, p: np.ndarray, u: np.ndarray, prior: float, rng: np.random.Generator) -> Model:
+    """Minimise the non-negative risk over rows of active coordinates."""
     n = int(bins.first[-1]) + 1
-    prior = estimate_prior(p, u, n, rng)
     fit = Adam(n)
     for _ in range(STEPS):
         bp, bu = p[rng.integers(0, len(p), BATCH)], u[rng.integers(0, len(u), BATCH)]
         sp, su = (_sigmoid(fit.w[b].sum(axis=1) + fit.w[-1]) for b in (bp, bu))
         # sigmoid loss: l(z, +1) = sigmoid(-z), l(z, -1) = sigmoid(z)
         up, uu = sp * (1 - sp), su * (1 - su)
-        if su.mean() - prior * sp.mean() >= 0:
+        if nonnegative_risk(sp, su, prior)[1] >= 0:
             gradient = _gradient(bp, -2 * prior * up, n) + _gradient(bu, uu, n)
         else:
             gradient = _gradient(bp, prior * up, n) - _gradient(bu, uu, n)
@@ -174,25 +193,55 @@ def _sampled(df: DataFrame, n: int, seed: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * n / total))
 
 
-def _collect_features(df: DataFrame) -> np.ndarray:
+def _half(seed: int) -> Column:
+    """The half of the ids by which the prior is counted; the other half fits the separating score."""
+    return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2)) == 1
+
+
+def _collect_features(df: DataFrame, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features, half) of rows (id, t), ordered by a hash of the id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in tk.chunks(batches, "t"):
-            yield pa.record_batch([pa.array(list(features(data, offsets).astype(np.float32)), pa.list_(pa.float32()))], ["x"])
+        for rows, data, offsets in tk.chunks(batches, "t"):
+            yield pa.record_batch([pa.array(list(features(data, offsets).astype(np.float32)), pa.list_(pa.float32())), *rows.columns[1:]], ["x", "half", "o"])
 
-    rows = df.select("t").mapInArrow(run, "x array<float>").toPandas()["x"]
-    return np.stack(rows.to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, 1))
+    found = df.select("t", _half(seed).alias("half"), F.xxhash64("id", F.lit(seed + 9)).alias("o")).mapInArrow(run, "x array<float>, half boolean, o long").toPandas().sort_values("o", kind="stable")
+    return (np.stack(found["x"].to_numpy()).astype(np.float64), found["half"].to_numpy(bool)) if len(found) else (np.zeros((0, 1)), np.zeros(0, bool))
+
+
+def count_prior(texts: DataFrame, trusted: DataFrame, separator: Separator, seed: int) -> float:
+    """The class prior, counted over all rows (id, t) of the counting half: texts are scored where they lie, only (id, cuts reached) is joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in tk.chunks(batches, "t"):
+            yield pa.record_batch([rows.column(0), pa.array(separator.place(features(data, offsets)).astype(np.int32))], ["id", "k"])
+
+    scored = texts.where(_half(seed)).select("id", "t").mapInArrow(run, "id long, k int")
+    found = scored.join(trusted.withColumn("known", F.lit(1)), "id", "left").groupBy("known", "k").count().collect()
+    n = np.zeros((2, len(separator.cuts) + 1), np.int64)
+    for known, k, count in found:
+        n[1, k] += count  # the unlabelled rows are all rows
+        if known:
+            n[0, k] += count
+    return prior_of(n[0], n[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, seed: int = 5) -> Model:
-    """Fit on documents and labels (doc_id, quality): quality 1 is a trusted positive, all else is unlabelled."""
-    trusted, at = cut(labels.where("doc_id is not null and quality = 1").select(F.col("doc_id").alias("id")).distinct())
-    texts = docs.select(q(id_col).alias("id"), q(text_col).alias("t")).where("t is not null")
-    known = small(_sampled(trusted, sample, seed), 16)
-    positive = _collect_features(texts.join(known, "id", "left_semi"))
-    every = texts.where("id is not null")
-    unlabelled = _collect_features(_sampled(every.select("id", "t"), sample, seed + 1))
+    """Fit on documents and labels (doc_id, quality): quality 1 is a trusted positive, and all rows are the unlabelled ones."""
+    trusted, at = cut(labels.where("doc_id is not null and quality = 1").select(F.col("doc_id").cast("long").alias("id")).distinct())
+    texts = docs.select(q(id_col).cast("long").alias("id"), q(text_col).alias("t")).where("t is not null and id is not null")
+    positive, half_p = _collect_features(texts.join(F.broadcast(_sampled(trusted, sample, seed)), "id", "left_semi"), seed)
+    unlabelled, half_u = _collect_features(_sampled(texts, sample, seed + 1), seed)
+    if not len(positive) or not len(unlabelled):
+        drop(docs.sparkSession, at)
+        return Model(None, None, 1.0)
+    rng = np.random.default_rng(seed)
+    bins = Binned(np.concatenate([positive, unlabelled]))
+    p, u = bins(positive), bins(unlabelled)
+    fitted = lambda x, half: x[~half] if (~half).any() else x
+    prior = count_prior(texts, trusted, Separator(bins, fitted(p, half_p), fitted(u, half_u), rng), seed)
     drop(docs.sparkSession, at)
-    return train(positive, unlabelled)
+    return train(bins, p, u, prior, rng)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
