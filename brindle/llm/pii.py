@@ -32,20 +32,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import BitFilter, q, small, table
+from brindle.llm.common import BitFilter, q, table
 from brindle.llm.textkit import chunks
 from brindle.storage import cut, drop
 
 ROUNDS, DAMP, CONFIDENT, SUPPORT, ACCEPT, SHARE = 3, 1.0, 0.75, 3, 0.75, 0.5
-MAIL = r"(?P<email>[\w.+\-]{1,64}@[\w\-]+(?:\.[\w\-]+)+)"
+MAIL = r"(?P<email>(?<![\w.+\-])[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+)"
 REST = (
     r"(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))"
     r"|(?P<phone>\+\d{1,3}[ .\-]?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}[.\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\d.\-]))"
-    r"|(?P<secret>(?<![A-Za-z0-9_\-])(?=[A-Za-z0-9_\-]{0,200}\d)(?=[\d_\-]{0,200}[A-Za-z])[A-Za-z0-9_\-]{16,}(?![A-Za-z0-9_\-]))"
+    r"|(?P<secret>(?<![A-Za-z0-9_\-])(?=[A-Za-z_\-]*+\d)(?=[\d_\-]*+[A-Za-z])[A-Za-z0-9_\-]{16,})"
     r"|(?P<number>(?<!\d)(?:\d{4}[ \-]){3}\d{4}(?!\d)|(?<![\d.])\d{7,}(?!\d))"
 )
 ISSUER = re.compile(r"4|5[1-5]|2[2-7]|3[47]|6(?:011|5)")
 ANNOUNCED = re.compile(r"(?i)(?:token|secret|key|password|passwd|pwd)\W{0,4}$")
+AFTER = re.compile(r"\s*(\S+)")
 UNIT = re.compile(r"\S*\d\S*(?: \S*\d\S*)*|\S+")
 EDGE = "\"'`()[]{}<>=:,;.!?"
 RUN = re.compile(r"\d\S* \S*\d")
@@ -97,8 +98,19 @@ def checked(kind: str, value: str, before: str) -> tuple[float | None, str]:
 
 def around(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
     """The two words before and the one after a span, numbers as 9."""
-    before, after = text[max(0, start - 64) : start], text[end : end + 32]
-    return re.sub(r"\d+", "9", before.lower()).split()[-2:], re.sub(r"\d+", "9", after.lower()).split()[:1]
+    left, right = [], AFTER.match(text, end)
+    at = start
+    while len(left) < 2:
+        while at and text[at - 1].isspace():
+            at -= 1
+        to = at
+        while at and not text[at - 1].isspace():
+            at -= 1
+        if at == to:
+            break
+        left.insert(0, text[at:to])
+    fold = lambda w: re.sub(r"\d+", "9", w.lower())
+    return [fold(w) for w in left], [fold(right.group(1))] if right else []
 
 
 def slot_patterns(kind: str, left: list[str], right: list[str]) -> list[str]:
@@ -262,7 +274,7 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, docs: DataFrame | None = N
         scored = edges.join(instances, ["kind", "value"])
         strength = F.sum("score") / (F.count(F.lit(1)) + DAMP)
         confident, confident_at = cut(scored.groupBy("pattern").agg(strength.alias("confidence"), F.sum((F.col("score") >= ACCEPT).cast("int")).alias("good")).where((F.col("confidence") >= CONFIDENT) & (F.col("good") >= SUPPORT)))
-        belief = edges.join(small(confident, 128), "pattern").groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("belief"))
+        belief = edges.join(confident, "pattern").groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("belief"))
         updated = instances.join(belief, ["kind", "value"], "left").select("kind", "value", "mark", F.coalesce("mark", "belief", F.lit(0.0)).alias("score"), "slot")
         new, new_at = cut(updated)
         drop(spark, instances_at)
@@ -287,12 +299,12 @@ def identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     instances, _ = bootstrap(found, docs=texts)
     accepted = instances.where(F.col("score") >= ACCEPT).select("kind", "value", "score", (F.col("mark") == 1).alias("is_seed"), "slot")
     accepted, _ = cut(accepted)
-    known = found.join(small(accepted.where("not slot"), 96), ["kind", "value"])
+    known = found.join(accepted.where("not slot"), ["kind", "value"])
     out = known.select("doc_id", "kind", "start", "end", "value", "score", F.coalesce("is_seed", F.lit(False)).alias("seed"))
     others = accepted.where("slot")
     if others.isEmpty():
         return out
-    more = occurrences(texts, others.select("value")).join(small(others, 96), "value")
+    more = occurrences(texts, others.select("value")).join(others, "value")
     return out.unionByName(more.select("doc_id", "kind", "start", "end", "value", "score", F.lit(False).alias("seed")))
 
 
