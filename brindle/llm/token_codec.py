@@ -10,8 +10,8 @@ cumulative sums over many blocks at once, and code many blocks in lockstep.  All
 
 Defined results: one row for each block (``doc_ids``, ``lengths``: the documents it holds, in order; a
 document longer than a block has its parts in blocks ``part`` 0, 1, ... of its own).  A null or empty text
-has no tokens and an entry of length 0; a null ``doc_id`` is kept as null.  An empty table has no blocks;
-other columns are ignored.  ``decode`` gives the ids back and raises on a block whose checksum fails.
+has no tokens and an entry of length 0; a null or repeated ``doc_id`` is kept as it is.  Vocabularies of up to
+``MOST_IDS`` ids can be coded, larger ones are refused.  An empty table has no blocks; other columns are ignored.  ``decode`` gives the ids back and raises on a block whose checksum fails.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 BLOCK, LANES, TOGETHER, CACHE = 8192, 384, 16, 400_000
 EPOCHS = np.array([0, 64, 128, 256, 512, 768, 1024, 1536, 2048, 3072, 4096, 5120, 6144, 7168, BLOCK])
 TOTAL_BITS, WEIGHT_BITS, BUCKETS = 24, 12, 8
+MOST_IDS = 1 << 22
 SCHEMA = "doc_ids array<long>, lengths array<int>, part int, n_tokens int, crc long, payload binary"
 
 
@@ -170,7 +171,9 @@ def _weights(hits: np.ndarray, trials: np.ndarray) -> np.ndarray:
 
 def intervals(ids: np.ndarray, block: np.ndarray, position: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     """(low, width) of every token in a range of 2**TOTAL_BITS, given its block and place in it."""
-    n = len(ids)
+    n, real = len(ids), ids
+    if vocabulary >= 1 << 17:  # keys have 17 bits for an id: larger ones by their rank among these, which keeps their order
+        ids = np.unique(ids, return_inverse=True)[1]
     epoch = (np.searchsorted(EPOCHS, position, "right") - 1).astype(np.int8)
     n_epochs = int(epoch.max(initial=0)) + 1
     when = [np.flatnonzero(epoch == e) for e in range(n_epochs)]
@@ -208,7 +211,7 @@ def intervals(ids: np.ndarray, block: np.ndarray, position: np.ndarray, vocabula
         width += share * (less + same) // seen - a
         reached &= same == 0
     each = room // vocabulary + 1
-    return low + each * ids, width + each
+    return low + each * real, width + each
 
 
 def range_encode(low: np.ndarray, width: np.ndarray, first: np.ndarray) -> list[bytes]:
@@ -320,10 +323,13 @@ def decode_block(payload: bytes, n: int, vocabulary: int) -> np.ndarray:
 
 def encode_blocks(ids: np.ndarray, first: np.ndarray, vocabulary: int) -> list[tuple[int, bytes]]:
     """(crc, payload) of each run of ids between ``first``."""
+    if vocabulary > MOST_IDS or len(ids) and int(ids.max()) >= vocabulary:
+        raise ValueError(f"ids are below {vocabulary}, and a vocabulary has {MOST_IDS} at most")
     lengths = np.diff(first)
     low, width = np.empty(first[-1], np.int32), np.empty(first[-1], np.int32)
-    for k in range(0, len(lengths), TOGETHER):
-        n, at = lengths[k : k + TOGETHER], first[k : k + TOGETHER + 1]
+    together = TOGETHER if vocabulary < 1 << 17 else TOGETHER // 2
+    for k in range(0, len(lengths), together):
+        n, at = lengths[k : k + together], first[k : k + together + 1]
         block = np.repeat(np.arange(len(n)), n)
         position = np.arange(n.sum()) - np.repeat(at[:-1] - at[0], n)
         low[at[0] : at[-1]], width[at[0] : at[-1]] = intervals(ids[at[0] : at[-1]].astype(np.int64), block, position, vocabulary)
