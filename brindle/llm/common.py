@@ -56,6 +56,16 @@ class BitFilter:
         return h.isNotNull() & test(F.coalesce(h, F.lit(0)))
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the complete versions ``path/v=N``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    found = [x.getPath() for x in fs.listStatus(at)]
+    return [int(x.getName()[2:]) for x in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+
+
 def hashed(id_: Column) -> Column:
     return F.xxhash64(id_)
 

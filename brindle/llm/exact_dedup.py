@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import BitFilter, fresh, q, table
+from brindle.llm.common import BitFilter, fresh, q, table, versions
 from brindle.llm.textkit import U64, mix
 from brindle.storage import cut, drop, scratch
 
@@ -181,10 +181,7 @@ class CuckooIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, parts: int = 0):
         self.spark, self.path = spark, path or scratch(spark, "cuckoo")
         self.parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-        done = [int(x.getPath().getName()[2:]) for x in fs.listStatus(at) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))] if fs.exists(at) else []
-        self.version = max(done, default=-1)
+        self.version = max(versions(spark, self.path), default=-1)
         if self.version < 0:
             self._write(spark.createDataFrame([], self.SCHEMA))
         else:

@@ -22,20 +22,44 @@ def docs(spark):
 
 
 # exact
-def test_cuckoo_filter_grows_and_forgets():
+def digest_arrays(keys):
+    return keys, keys * 3, keys * 5, np.ones(len(keys), np.int64)
+
+
+def test_cuckoo_table_grows_and_forgets():
     rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, 20_000))
+    rng.shuffle(keys)
     live = exact_dedup.LiveDigests()
-    keys = rng.integers(-(1 << 63), (1 << 63) - 1, 20_000)
-    first = len(live.filter.table)
+    first = live.fp.size
     for part in np.array_split(keys, 7):
-        assert not len(np.intersect1d(live.insert(part), keys[: 0]))
-    assert len(live.filter.table) > first and live.filter.contains(keys).all()
-    gone, kept = keys[:8000], keys[8000:]
-    live.delete(gone)
-    live.delete(gone)
-    assert live.filter.contains(kept).all() and live.filter.contains(gone).mean() < 0.01
-    assert set(live.all()) == set(kept)
-    assert set(kept[:5]) <= set(live.insert(np.r_[kept[:5], kept[:5]]))
+        assert not live.insert(*digest_arrays(part)).any()
+    assert live.fp.size > first and len(live) == len(keys)
+    assert (live.insert(*digest_arrays(keys[:10_000])) == 1).all()
+    live = exact_dedup.LiveDigests(raw=live.raw())
+    live.delete(*digest_arrays(keys[:15_000]))  # 10,000 of them had two carriers
+    assert (live.lookup(*digest_arrays(keys)[:3]) == np.r_[np.ones(10_000), np.zeros(5_000), np.ones(len(keys) - 15_000)]).all()
+    live.delete(*digest_arrays(keys[10_000:15_000]))
+    assert len(live) == len(keys) - 5_000
+    key, more, most, _ = digest_arrays(keys[:5])
+    assert (live.lookup(key, more + 1, most) == 0).all()  # the same 64 bits with other content are no hit
+
+
+def test_cuckoo_table_work_follows_its_input():
+    """A batch touches two buckets a key, however many the table holds."""
+    from time import process_time
+
+    rng = np.random.default_rng(2)
+
+    def seconds(n):
+        live, keys = exact_dedup.LiveDigests(), np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, n))
+        began = process_time()
+        for part in np.array_split(keys, max(1, n // 20_000)):
+            live.insert(*digest_arrays(part))
+        return process_time() - began
+
+    seconds(50_000)
+    assert seconds(400_000) < 3.5 * seconds(200_000) + 0.2
 
 
 def test_exact_messy(messy):
@@ -58,13 +82,31 @@ def test_exact_empty(empty):
     assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.drop_exact_duplicates(empty).columns == empty.columns
 
 
+def live_ids(index, rows):
+    return {r.doc_id: r.live for r in index.lookup(rows).collect()}
+
+
 def test_cuckoo_index(spark):
     frame = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
     index = exact_dedup.CuckooIndex(spark, parts=4)
-    assert {r.doc_id: r.live for r in index.insert(frame((1, "a"), (2, "b"), (3, None))).collect()} == {1: False, 2: False}
-    assert {r.doc_id: r.live for r in index.lookup(frame((9, "a"), (8, "c"), (7, ""))).collect()} == {9: True, 8: False, 7: False}
-    index.delete(frame((1, "a"), (5, "never")))
-    assert {r.doc_id: r.live for r in index.lookup(frame((9, "a"), (8, "b"))).collect()} == {9: False, 8: True}
+    assert index.insert(frame((1, "a"), (2, "b"), (3, None), (4, "b"))).count() == 1  # only "b" has two carriers
+    assert live_ids(index, frame((9, "a"), (8, "c"), (7, ""))) == {9: True, 8: False, 7: False}
+    index.delete(frame((2, "b"), (5, "never")))
+    index = exact_dedup.CuckooIndex(spark, index.path)  # as another session would
+    assert live_ids(index, frame((9, "a"), (8, "b"), (7, "never"))) == {9: True, 8: True, 7: False}
+    index.delete(frame((4, "b")))
+    assert live_ids(index, frame((9, "a"), (8, "b"))) == {9: True, 8: False}
+    assert [r.n for r in index.insert(frame((6, "a"))).collect()] == [2]
+
+
+def test_cuckoo_index_splits_its_parts(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup.CuckooIndex, "PART", 50)
+    index = exact_dedup.CuckooIndex(spark, parts=2)
+    texts = lambda a, b: spark.range(a, b).selectExpr("id doc_id", "concat('t', id) text")
+    index.insert(texts(0, 90))
+    index.insert(texts(60, 300))
+    assert index.parts >= 4 and index.state().count() == index.parts
+    assert all(live_ids(index, texts(0, 300)).values()) and not any(live_ids(index, texts(300, 330)).values())
 
 
 # near
@@ -118,6 +160,31 @@ def test_near_large_groups(spark):
     assert {group[n] for n in range(300)} == {0} and all(group[1000 + n] == 1000 + n for n in range(100))
 
 
+def test_near_work_follows_its_input(spark, monkeypatch):
+    """Texts that share a frame but no group: twice the documents are about twice the pairs."""
+    judged = []
+    verify = near_dedup.verify
+    monkeypatch.setattr(near_dedup, "verify", lambda pairs, *a: judged.append(pairs.count()) or verify(pairs, *a))
+
+    def pairs(n):
+        judged.clear()
+        rows = [(i, " ".join([f"frame{k}" for k in range(22)] + [f"own{i}x{k}" for k in range(34)])) for i in range(n)]
+        group = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert all(r.doc_id == r.group_id for r in group)
+        return sum(judged)
+
+    few, many = pairs(200), pairs(400)
+    assert many < 2.3 * few
+
+
+def test_second_round_finds_what_hubs_hide(spark):
+    """Members that fail against their bucket's smallest still find each other."""
+    frame = [f"frame{k}" for k in range(20)]
+    rows = [(n, " ".join(frame + [f"g{n // 2}x{k}" for k in range(28)] + [f"own{n}"])) for n in range(60)]
+    group = {r.doc_id: r.group_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert group == {n: n - n % 2 for n in range(60)}
+
+
 # passages
 def brute_passages(rows, window):
     seen, out = {}, set()
@@ -146,6 +213,21 @@ def test_passages_against_brute_force(spark, docs, batches, max_runs):
     assert want and spread(substring.repeated_passages(docs, batches=batches, max_runs=max_runs)) == want
 
 
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_passage_index_reopens(spark, docs, monkeypatch, hot):
+    """Three batches, each in an index opened anew from its path; with ``hot`` 1 nearly every shared anchor is spread."""
+    monkeypatch.setattr(substring, "HOT", hot)
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    parts = [rows[0:90], rows[90:150], rows[150:]]
+    path, got = None, set()
+    for part in parts:
+        index = substring.FingerprintIndex(spark, path=path, max_runs=2)
+        got |= spread(index.add(spark.createDataFrame([(r.doc_id, r.text) for r in part], "doc_id long, text string")))
+        path = index.path
+    assert got == brute_passages([(r.doc_id, r.text) for r in rows], substring.WINDOW)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("brindle_run")]
+
+
 def test_passages_by_construction(spark):
     shared = [f"s{k}" for k in range(70)]
     own = lambda n, m: [f"d{n}w{k}" for k in range(m)]
