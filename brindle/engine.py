@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,7 @@ from brindle.dialect.binder import Binder
 from brindle.dialect.compiler import Output, Predicates, Scope, SelectCompiler, literal
 from brindle.dialect.parser import parse
 from brindle.operators import dml, search
+from brindle.sources import textindex, vectorindex
 from brindle.sources.store import State, Store
 from brindle.types import Column, ForeignKey, Index, Schema, check, coerce, from_tagged, kind_of, to_tagged
 
@@ -225,16 +227,33 @@ class Reads:
         return metric or schema.vector_indexes.get(column, {}).get("metric", "cosine")
 
     def search_text_df(self, table, column, query, top_k=10, filter=None) -> DataFrame:
-        schema, df, key = self._search_column(table, column, "text")
-        return search.search_text(df, self._id(schema).key, key, query, top_k, self._keep(schema, filter))
+        return textindex.top(self._text_scores(table, column, query, filter), top_k)
 
-    def search_vector_df(self, table, column, vector, top_k=10, filter=None, metric: str | None = None) -> DataFrame:
+    def _text_scores(self, table: str, column: str, query: str, filter: Mapping | None) -> DataFrame:
+        """(id, score) by the persisted index; by a scan where there is none (attached tables, engines opened for reading)."""
+        schema, df, key = self._search_column(table, column, "text")
+        id_key, keep = self._id(schema).key, self._keep(schema, filter)
+        if table in self.engine.attached or self.engine.read_only:
+            return search.bm25(df, id_key, key, query, keep)
+        files, index = self._state().tables[table]["files"], textindex.TextIndex(self.engine.store, table, key)
+        index.catch_up(files, schema.struct(), id_key, key)
+        return index.search(files, query, textindex.kept(df, id_key, keep))
+
+    def search_vector_df(self, table, column, vector, top_k=10, filter=None, metric: str | None = None, ef_search: int | None = None, exact: bool = False) -> DataFrame:
+        """(id, distance), nearest first: the index proposes, the vectors decide; ``exact`` compares all vectors."""
         schema, df, key = self._search_column(table, column, "vector")
         dim = schema.get(column).dim
         if dim is not None and len(vector) != dim:
             raise E.InvalidArgument(f"column '{column}' has {dim} dimensions, not {len(vector)}")
-        run = search.nearest_quantized if schema.vector_indexes.get(column, {}).get("quantized") else search.nearest
-        return run(df, self._id(schema).key, key, list(vector), top_k, self._metric(schema, column, metric), self._keep(schema, filter))
+        id_key, keep, metric, vector = self._id(schema).key, self._keep(schema, filter), self._metric(schema, column, metric), list(vector)
+        quantized = schema.vector_indexes.get(column, {}).get("quantized")
+        if exact or table in self.engine.attached or self.engine.read_only or dim is None:
+            run = search.nearest_quantized if quantized else search.nearest
+            return run(df, id_key, key, vector, top_k, metric, keep)
+        files, index = self._state().tables[table]["files"], vectorindex.VectorIndex(self.engine.store, table, key)
+        index.catch_up(files, schema.struct(), id_key, key)
+        found = index.search(files, vector, top_k if quantized else max(4 * top_k, ef_search or 100), metric, keep=textindex.kept(df, id_key, keep))
+        return found if quantized else vectorindex.rescored(df, id_key, key, found, vector, top_k, metric)
 
     def _hits(self, table: str, top: DataFrame, name: str, descending: bool) -> list[tuple[Any, float, dict]]:
         schema, df = self._resolve(table)
@@ -248,8 +267,8 @@ class Reads:
         return self._hits(table, self.search_text_df(table, column, query, top_k, filter), "score", True)
 
     def search_vector(self, table, column, vector, top_k=10, filter=None, ef_search: int | None = None) -> list[tuple[Any, float, dict]]:
-        """(id, distance, record), nearest first.  The search is exact, so ``ef_search`` changes nothing."""
-        return self._hits(table, self.search_vector_df(table, column, vector, top_k, filter), "distance", False)
+        """(id, distance, record), nearest first; ``ef_search`` is the number of candidates whose own vectors are compared."""
+        return self._hits(table, self.search_vector_df(table, column, vector, top_k, filter, ef_search=ef_search), "distance", False)
 
     def search_hybrid(self, table: str, text: tuple[str, str] | None = None, vector: tuple[str, list[float]] | None = None, top_k: int = 10, filter: Mapping | None = None, ef_search: int | None = None) -> list[tuple[Any, float, dict]]:
         """(id, score, record) by reciprocal ranks."""
@@ -258,7 +277,7 @@ class Reads:
         schema, df = self._resolve(table)
         t = v = None
         if text:
-            t = (self._search_column(table, text[0], "text")[2], text[1])
+            t = self._text_scores(table, text[0], text[1], filter)
         if vector:
             v = (self._search_column(table, vector[0], "vector")[2], list(vector[1]), self._metric(schema, vector[0], None))
         return self._hits(table, search.search_hybrid(df, self._id(schema).key, top_k, t, v, self._keep(schema, filter)), "score", True)
@@ -341,12 +360,12 @@ class Writer:
                 self.state.note(table, new.select(schema.get("id").key))
         return rows, identity
 
-    def append(self, table: str, df: DataFrame) -> None:
-        """Insert a DataFrame's rows; all checks are joins and aggregates."""
+    def append(self, table: str, df: DataFrame) -> int:
+        """Insert a DataFrame's rows, and say how many; all checks are joins and aggregates."""
         schema = self.table(table)
         if extra := set(df.columns) - {c.name for c in schema.columns}:
             raise E.ColumnNotFound(f"unknown column '{sorted(extra)[0]}'")
-        values = []
+        values, now = [], dt.datetime.now(dt.UTC).replace(tzinfo=None)
         for c in schema.columns:
             kind = T.StringType() if c.type == "json" else c.field().dataType
             if c.name in df.columns:
@@ -356,7 +375,8 @@ class Writer:
                 prefix = "".join(DIGITS[stamp >> (5 * k) & 31] for k in range(9, -1, -1))
                 values.append(F.concat(F.lit(prefix), F.lpad(F.conv(F.monotonically_increasing_id().cast("string"), 10, 32), 16, "0")).alias(c.key))
             else:
-                values.append(literal(c.default, c.type).cast(kind).alias(c.key))
+                given = coerce(now, c, True) if c.default_now else c.default
+                values.append(literal(given, c.type).cast(kind).alias(c.key))
         new = df.select(*values)
         identity = next((c for c in schema.columns if c.identity), None)
         if identity and identity.name not in df.columns:
@@ -368,8 +388,12 @@ class Writer:
         before = self.state.tables[table]["files"]
         for name in dict.fromkeys([*(["id"] if schema.get("id") else []), *schema.unique_columns()]):
             key = schema.get(name).key
-            known = self.state.store.read(before, schema.struct()).select(key).unionAll(written.select(key))
-            self.refuse_repeats(table, name, known, key)
+            self.refuse_repeats(table, name, written, key)
+            # The older keys are only probed: the new ones are broadcast if they are few, and nothing is grouped again.
+            old = self.state.store.read(before, schema.struct()).select(key)
+            again = old.join(written.select(key), key, "left_semi").first() if before else None
+            if again is not None:
+                raise (E.DuplicateId if name == "id" else E.UniqueViolation)(f"{table}.{name} would hold {again[0]!r} more than once")
         for f in schema.foreign_keys:
             self.check_orphans(table, f, written)
         self.state.tables[table]["files"] = before + files
@@ -379,6 +403,7 @@ class Writer:
                 self.engine.advance(table, identity.name, self.state, top)
         if schema.get("id"):
             self.state.note(table, written.select(schema.get("id").key))
+        return written.count()
 
     def check_frame(self, schema: Schema, df: DataFrame) -> None:
         """NOT NULL, length, enumeration and dimension, in one pass."""
@@ -496,12 +521,13 @@ class Writer:
         hit = F.coalesce(self.condition(table, where), F.lit(False))
         return self.remove(table, hit, 0)
 
-    def remove(self, table: str, hit, depth: int) -> int:
-        """Delete matching rows, and those that refer to them if their key says so."""
+    def remove(self, table: str, hit: SparkColumn | None, depth: int, gone: DataFrame | None = None) -> int:
+        """Delete the rows that match ``hit``, or whose key is in ``gone`` (one column), and those that refer to them if their key says so."""
         if depth > CASCADE_DEPTH:
             raise E.SchemaViolation(f"a cascade goes deeper than {CASCADE_DEPTH}")
         state, schema = self.state, self.state.schema(table)
-        doomed = state.frame(table).where(hit)
+        split = lambda df, doomed: (df.where(hit if doomed else ~hit) if gone is None else df.join(gone, gone.columns[0], "left_semi" if doomed else "left_anti")).select(*df.columns)
+        doomed = split(state.frame(table), True)
         n = doomed.count()
         if not n:
             return 0
@@ -511,21 +537,19 @@ class Writer:
         keys: list[tuple[str, ForeignKey, DataFrame]] = []
         for child, f in children:
             target, own = schema.get(f.target).key, state.schema(child).get(f.column).key
-            gone = state.store.read(state.store.write(doomed.select(target).distinct()), T.StructType([T.StructField(target, doomed.schema[target].dataType)]))
-            survivors = state.frame(child).where(~hit) if child == table else state.frame(child)
-            if not f.cascade and dml.referencing(survivors, own, gone, target).first() is not None:
+            keys_gone = state.store.read(state.store.write(doomed.select(target).distinct()), T.StructType([T.StructField(target, doomed.schema[target].dataType)]))
+            survivors = split(state.frame(child), False) if child == table else state.frame(child)
+            if not f.cascade and dml.referencing(survivors, own, keys_gone, target).first() is not None:
                 raise E.SchemaViolation(f"{table}.{f.target} is referenced by {child}.{f.column}")
             if f.cascade:
-                keys.append((child, f, gone))
+                keys.append((child, f, keys_gone.select(F.col(target).alias(own))))
         if schema.get("id"):
             state.note(table, doomed.select(schema.get("id").key))
-        self.rewrite(table, hit, lambda df: df.where(~hit))
-        for child, f, gone in keys:
-            own = state.schema(child).get(f.column).key
-            values = [r[0] for r in gone.limit(CASCADE_ROWS + 1).collect()]
-            if len(values) > CASCADE_ROWS:
-                raise E.SchemaViolation(f"a cascade would follow more than {CASCADE_ROWS} keys")
-            self.remove(child, F.coalesce(F.col(own).isin(values), F.lit(False)), depth + 1)
+        files = state.tables[table]["files"]
+        touched = set(state.store.files_of(split(state.frame(table).select("*", F.col("_metadata.file_path").alias("_file")), True), "_file"))
+        state.tables[table]["files"] = [f for f in files if f not in touched] + state.store.write(split(state.store.read(sorted(touched), schema.struct()), False))
+        for child, _, keys_gone in keys:
+            self.remove(child, None, depth + 1, keys_gone)
         return n
 
     # definitions
@@ -968,9 +992,9 @@ class Engine(Reads):
     def delete(self, table: str, id: Any) -> bool:
         return self._change(lambda w: w.delete(table, ast.Compare(ast.Ref("id"), "=", ast.Literal(id, True)))) > 0
 
-    def append(self, table: str, df: DataFrame) -> None:
-        """Insert all rows of a DataFrame in one commit."""
-        self._change(lambda w: w.append(table, df))
+    def append(self, table: str, df: DataFrame) -> int:
+        """Insert all rows of a DataFrame in one commit; their number."""
+        return self._change(lambda w: w.append(table, df))
 
     def bulk_insert_sorted(self, table: str, df: DataFrame, position: str) -> None:
         """Insert rows whose ids increase with ``position`` and are above all that the table has."""
@@ -1026,7 +1050,10 @@ class Engine(Reads):
         self._change(work)
 
     def create_text_index(self, table, column) -> None:
+        """Write the postings of the table's texts; later rows join them at the next search."""
         self._index(table, column, "text", lambda s: s.text_indexes.append(column) if column not in s.text_indexes else None)
+        schema, key = self.table_schema(table), self.table_schema(table).get(column).key
+        textindex.TextIndex(self.store, table, key).catch_up(self._state().tables[table]["files"], schema.struct(), self._id(schema).key, key)
 
     def drop_text_index(self, table: str, column: str) -> None:
         def change(s: Schema) -> None:
@@ -1034,30 +1061,49 @@ class Engine(Reads):
                 raise E.IndexNotFound(f"no text index on {table}.{column}")
             s.text_indexes.remove(column)
 
+        key = self.table_schema(table).get(column)
         self._index(table, column, "text", change)
+        textindex.TextIndex(self.store, table, key.key).drop()
 
     def create_vector_index(self, table: str, column: str, **given: Any) -> None:
-        """Options: ``metric`` (cosine, dot, l2) and ``quantized``; those of a graph are kept and change nothing."""
+        """Options: ``metric`` (cosine, dot, l2) and ``quantized`` (distances of bytes); those of a graph are kept and change nothing."""
         options = VECTOR_OPTIONS | given
         if unknown := set(given) - set(VECTOR_OPTIONS):
             raise E.InvalidArgument(f"unknown option '{sorted(unknown)[0]}'")
         if options["metric"] not in ("cosine", "dot", "l2"):
             raise E.InvalidArgument(f"unknown metric '{options['metric']}'")
         self._index(table, column, "vector", lambda s: s.vector_indexes.update({column: options}))
+        if self.table_schema(table).get(column).dim is not None:
+            self.wait_vector_indexing(table, column)
 
     def drop_vector_index(self, table: str, column: str) -> None:
         def change(s: Schema) -> None:
             if s.vector_indexes.pop(column, None) is None:
                 raise E.IndexNotFound(f"no vector index on {table}.{column}")
 
+        key = self.table_schema(table).get(column)
         self._index(table, column, "vector", change)
+        vectorindex.VectorIndex(self.store, table, key.key).drop()
 
-    def vector_indexing_backlog(self) -> int:
-        """Search reads the table itself, so nothing ever waits to be indexed."""
-        return 0
+    def _vector_columns(self) -> list[tuple[str, str]]:
+        state = self._state()
+        return [(t, c) for t in state.tables for c in state.schema(t).vector_indexes if state.schema(t).get(c).dim is not None]
 
-    def wait_vector_indexing(self) -> None:
-        return None
+    def vector_indexing_backlog(self) -> int:
+        """How many files wait to be indexed; a search indexes them first."""
+        waiting = 0
+        for t, c in self._vector_columns():
+            note = vectorindex.VectorIndex(self.store, t, self.table_schema(t).get(c).key)._note()
+            waiting += len(set(self._state().tables[t]["files"]) - {f for s in note["segments"].values() for f in s["files"]})
+        return waiting
+
+    def wait_vector_indexing(self, table: str | None = None, column: str | None = None) -> None:
+        """Index what waits, of all vector columns or of one."""
+        for t, c in self._vector_columns():
+            if table in (None, t) and column in (None, c):
+                schema = self.table_schema(t)
+                key = schema.get(c).key
+                vectorindex.VectorIndex(self.store, t, key).catch_up(self._state().tables[t]["files"], schema.struct(), self._id(schema).key, key)
 
     # files
     def import_json(self, table: str, path: str) -> int:
@@ -1065,10 +1111,17 @@ class Engine(Reads):
         schema = self.table_schema(table)
         lines = self.spark.read.text(path).where(F.trim("value") != "")
         kinds = {c.name: c for c in schema.columns}
+        now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
+        defaults = {c.name: coerce(now, c, True) if c.default_now else c.default for c in schema.columns}
+        # Numbers are given to the rows of a file that names none; else the column must be in each record.
+        identity = [c.name for c in schema.columns if c.identity]
+        unnumbered = bool(identity) and lines.where(F.get_json_object("value", f"$['{identity[0]}']").isNotNull()).isEmpty()
+        text_id = schema.get("id") is not None and schema.get("id").type == "text"
 
         def parse_line(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
+            from brindle.engine import new_id as an_id
             from brindle.types import coerce as typed
             from brindle.types import from_tagged as untag
 
@@ -1078,18 +1131,18 @@ class Engine(Reads):
                     record = json.loads(text)
                     if extra := set(record) - set(kinds):
                         raise ValueError(f"unknown column '{sorted(extra)[0]}'")
-                    rows.append({n: typed(untag(record.get(n)), kinds[n], kinds[n].type != "json" or not isinstance(record.get(n), str)) for n in kinds})
+                    row = {n: typed(untag(record[n]), kinds[n], kinds[n].type != "json" or not isinstance(record[n], str)) if n in record else defaults[n] for n in kinds}
+                    if text_id and row["id"] is None:
+                        row["id"] = an_id()
+                    rows.append(row)
                 yield pa.RecordBatch.from_pylist(rows, arrow)
 
         from pyspark.sql.pandas.types import to_arrow_schema
 
         struct = T.StructType([T.StructField(c.name, c.field().dataType) for c in schema.columns])
         arrow = to_arrow_schema(struct)
-        given = self.spark.read.json(path).columns
-        rows = lines.mapInArrow(parse_line, struct).select(*[c.name for c in schema.columns if c.name in given])
-        before = self.scan(table).count()
-        self.append(table, rows)
-        return self.scan(table).count() - before
+        rows = lines.mapInArrow(parse_line, struct).select(*[c.name for c in schema.columns if not (c.identity and unnumbered)])
+        return self.append(table, rows)
 
     def export_json(self, table: str, path: str) -> None:
         """Write JSON lines that ``import_json`` reads."""

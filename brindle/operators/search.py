@@ -9,9 +9,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.functions.text import tokens
 from brindle.functions.vectors import dequantize, distance, literal, quantize
@@ -19,20 +20,62 @@ from brindle.functions.vectors import dequantize, distance, literal, quantize
 K1, B, RRF = 1.2, 0.75, 60
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, id, tf, dl): the term counts and the length of each document."""
-    return (
-        docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-        .select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-        .groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-        .select("term", "id", F.col("tf").cast("int").alias("tf"), "dl")
-    )
+def materialised(text_col: str) -> Column:
+    """The tokens of a column as a generator's output, so that no later use tokenises again."""
+    return F.explode(F.array(tokens(F.col(text_col))))
+
+
+def query_terms(spark: SparkSession, query: str) -> list[str]:
+    return [r[0] for r in spark.range(1).select(F.explode(F.array_distinct(tokens(F.lit(query))))).collect()]
+
+
+def postings(docs: DataFrame, id_col: str, text_col: str, *extra: str) -> DataFrame:
+    """(term, id, tf, dl): the term counts and the length of each document, and ``extra`` columns.
+
+    A document's tokens are in one row, so they are counted there: nothing is shuffled.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), *extra, materialised(text_col).alias("t")).where(F.size("t") > 0)
+    schema = T.StructType([T.StructField("term", T.StringType()), rows.schema["id"], T.StructField("tf", T.IntegerType()), T.StructField("dl", T.IntegerType()), *[rows.schema[x] for x in extra]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(batch.schema.get_field_index("t"))
+            n = np.diff(column.offsets.to_numpy().astype(np.int64))
+            words = column.flatten().dictionary_encode()
+            key = np.repeat(np.arange(len(n)), n) * max(1, len(words.dictionary)) + words.indices.to_numpy()
+            key, tf = np.unique(key, return_counts=True)
+            row = key // max(1, len(words.dictionary))
+            at = pa.array(row)
+            others = [batch.column(batch.schema.get_field_index(x)).take(at) for x in ("id", *extra)]
+            yield pa.record_batch([words.dictionary.take(pa.array(key % max(1, len(words.dictionary)))), others[0], pa.array(tf.astype(np.int32)), pa.array(n[row].astype(np.int32)), *others[1:]], ["term", "id", "tf", "dl", *extra])
+
+    return rows.mapInArrow(run, schema)
 
 
 def _matching(record: Column | None) -> Column:
     return F.lit(True) if record is None else F.coalesce(record, F.lit(False))
 
 
+def _gain(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def scored(rows: DataFrame, terms: list[str], n: int, avgdl: float, keep: DataFrame | None = None) -> DataFrame:
+    """(id, score) from postings (term, id, tf, dl) of the query's terms, for a corpus of ``n`` documents."""
+    seen = rows.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    rows = rows if keep is None else rows.join(keep, "id", "left_semi")
+    gain = _gain(F.col("tf").cast("double"), F.col("df"), F.col("dl").cast("double"), F.lit(float(n)), F.lit(float(avgdl)))
+    # As many rows as the query has terms: broadcast.  A fixed order of the terms makes equal scores equal.
+    by_term = rows.join(F.broadcast(seen), "term").select("id", "term", gain.alias("gain"))
+    pieces = [F.sum(F.when(F.col("term") == t, F.col("gain")).otherwise(0.0)).alias(f"g{k}") for k, t in enumerate(terms)]
+    total = F.lit(0.0)
+    for k in range(len(terms)):
+        total = total + F.col(f"g{k}")
+    return by_term.groupBy("id").agg(*pieces).select("id", total.alias("score"))
+
+
 def _occurrences(term: str) -> Column:
     return F.size(F.filter("t", lambda x: x == F.lit(term)))
 
@@ -40,21 +83,19 @@ def _occurrences(term: str) -> Column:
 def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, keep: Column | None = None) -> DataFrame:
     """(id, score) of the documents that hold a query term; statistics are those of the whole corpus.
 
-    One pass counts the query's terms in each document (no row a token); document frequencies and the mean
-    length come from the same small table by an aggregate of a handful of numbers.
+    For texts without an index: each text is tokenised once a pass, one pass for the corpus figures and one
+    for the documents that hold a term (no row a token).
     """
-    spark = docs.sparkSession
-    terms = [r[0] for r in spark.range(1).select(F.explode(F.array_distinct(tokens(F.lit(query))))).collect()]
-    toks = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"), _matching(keep).alias("keep")).where(F.size("t") > 0)
+    terms = query_terms(docs.sparkSession, query)
+    toks = docs.select(F.col(id_col).alias("id"), materialised(text_col).alias("t"), _matching(keep).alias("keep")).where(F.size("t") > 0)
     counts = [_occurrences(term).alias(f"f{k}") for k, term in enumerate(terms)]
-    table = toks.select("id", "keep", F.size("t").cast("double").alias("dl"), *counts)
+    table = toks.select("id", "keep", F.explode(F.array(F.struct(F.size("t").cast("double").alias("dl"), *counts))).alias("x")).select("id", "keep", "x.*")
     stats = table.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"f{k}") > 0).cast("double")).alias(f"d{k}") for k in range(len(terms))])
     joined = table.crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
     for k in range(len(terms)):
-        tf, df = F.col(f"f{k}").cast("double"), F.col(f"d{k}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
+        tf = F.col(f"f{k}").cast("double")
+        score = score + F.when(tf > 0, _gain(tf, F.col(f"d{k}"), F.col("dl"), F.col("n"), F.col("avgdl"))).otherwise(0.0)
     hit = F.greatest(F.lit(0), F.lit(0), *[F.col(f"f{k}") for k in range(len(terms))]) > 0
     return joined.where(hit & F.col("keep")).select("id", score.alias("score"))
 
@@ -89,12 +130,13 @@ def _ranked(top: DataFrame, *order: Column) -> DataFrame:
 
 
 def search_hybrid(
-    docs: DataFrame, id_col: str, top_k: int = 10, text: tuple[str, str] | None = None, vector: tuple[str, list[float], str] | None = None, keep: Column | None = None
+    docs: DataFrame, id_col: str, top_k: int = 10, text: tuple[str, str] | DataFrame | None = None, vector: tuple[str, list[float], str] | None = None, keep: Column | None = None
 ) -> DataFrame:
-    """(id, score) by reciprocal ranks of text ``(column, query)`` and vector ``(column, vector, metric)`` search."""
+    """(id, score) by reciprocal ranks of text ``(column, query)``, or its scores (id, score), and vector ``(column, vector, metric)`` search."""
     fetch, lists = max(4 * top_k, 50), []
-    if text:
-        lists.append(_ranked(search_text(docs, id_col, text[0], text[1], fetch, keep), F.desc("score"), F.asc("id")))
+    if text is not None:
+        found = text.orderBy(F.desc("score"), "id").limit(fetch) if isinstance(text, DataFrame) else search_text(docs, id_col, text[0], text[1], fetch, keep)
+        lists.append(_ranked(found, F.desc("score"), F.asc("id")))
     if vector:
         lists.append(_ranked(nearest(docs, id_col, vector[0], vector[1], fetch, vector[2], keep), F.asc("distance"), F.asc("id")))
     if not lists:
@@ -113,37 +155,68 @@ def ranking_quality(hits: DataFrame, judgments: DataFrame, k: int) -> DataFrame:
     return all_.agg(F.avg((zero(F.col("n").cast("double")) > 0).cast("double")).alias("hit_rate"), F.avg(zero(F.col("n") / F.col("total"))).alias("recall"), F.avg(zero(1 / F.col("best"))).alias("mrr"), F.avg(zero(F.col("dcg") / F.col("ideal"))).alias("ndcg"))
 
 
-def all_nearest(docs: DataFrame, id_col: str, vector_col: str, top_k: int = 10, metric: str = "cosine", blocks: int | None = None) -> DataFrame:
-    """(query_id, id, distance, rank from 1) of the ``top_k`` nearest other vectors of every vector; exact.
+def all_nearest(docs: DataFrame, id_col: str, vector_col: str, top_k: int = 10, metric: str = "cosine", queries: Column | None = None, slice_size: int = 4096, indexed: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, distance, rank from 1) of the ``top_k`` nearest other vectors of every query; exact.
 
-    Vectors are packed into blocks, every pair of blocks is one matrix product, and the best of each are
-    merged.  The work is quadratic; it is spread over all pairs, so no task sees more than two blocks.
+    ``queries`` says which rows are queries (all, if not given).  They go out in slices of ``slice_size``; for
+    each, every task keeps the best of its own rows by one matrix product a batch, and these are merged, so
+    the vectors themselves are never shuffled.  ``indexed`` are the vectors to search, if not ``docs``.
     """
-    rows = docs.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
-    blocks = blocks or max(1, -(-rows.count() // 4096))
-    packed = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("m")).select("block", "m.id", "m.v")
-    pairs = packed.crossJoin(packed.select(F.col("block").alias("other"), F.col("id").alias("id2"), F.col("v").alias("v2"))).repartition(max(1, min(blocks * blocks, 10_000)), "block", "other")
-
+    spark = docs.sparkSession
+    ready = lambda df: df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+    asked = ready(docs if queries is None else docs.where(F.coalesce(queries, F.lit(False))))
+    rows = ready(docs if indexed is None else indexed)
+    out = None
+    for ids, vectors in _slices(asked, slice_size):
+        sent = spark.sparkContext.broadcast((ids, vectors))
+        part = rows.mapInArrow(_best_of(sent, top_k, metric), "query_id long, id long, distance double")
+        out = part if out is None else out.unionAll(part)
+    if out is None:
+        out = spark.createDataFrame([], "query_id long, id long, distance double")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= top_k)
+
+
+def _slices(asked: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the queries, so many at a time."""
+    ids, vectors = [], []
+    for r in asked.orderBy("id").toLocalIterator():
+        ids.append(r["id"])
+        vectors.append(np.asarray(r["v"], np.float32))
+        if len(ids) == size:
+            yield np.array(ids, np.int64), np.stack(vectors)
+            ids, vectors = [], []
+    if ids:
+        yield np.array(ids, np.int64), np.stack(vectors)
+
+
+def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    product = a @ b.T
+    if metric == "dot":
+        return 1 - product
+    if metric == "l2":
+        return np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * product, 0))
+    length = np.sqrt((a**2).sum(1))[:, None] * np.sqrt((b**2).sum(1))[None]
+    return np.where(length == 0, 1.0, 1 - product / np.where(length == 0, 1, length))
+
+
+def _best_of(sent, top_k: int, metric: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, a = sent.value
+        best_d, best_i = np.full((len(asked), top_k), np.inf), np.full((len(asked), top_k), np.iinfo(np.int64).max)
         for batch in batches:
-            for k in range(batch.num_rows):
-                ids, ids2 = (np.asarray(batch.column(c)[k].values, np.int64) for c in (1, 4))
-                a, b = (np.asarray(batch.column(c)[k].values.flatten(), np.float64).reshape(len(i), -1) for c, i in ((2, ids), (5, ids2)))
-                product = a @ b.T
-                if metric == "dot":
-                    d = 1 - product
-                elif metric == "l2":
-                    d = np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * product, 0))
-                else:
-                    length = np.sqrt((a**2).sum(1))[:, None] * np.sqrt((b**2).sum(1))[None]
-                    d = np.where(length == 0, 1.0, 1 - product / np.where(length == 0, 1, length))
-                d[ids[:, None] == ids2[None]] = np.inf
-                n = min(top_k, d.shape[1])
-                near = np.lexsort((np.broadcast_to(ids2, d.shape), d), axis=1)[:, :n]
-                best = np.take_along_axis(d, near, 1)
-                keep = np.isfinite(best)
-                yield pa.record_batch([pa.array(np.repeat(ids, n)[keep.ravel()]), pa.array(ids2[near][keep]), pa.array(best[keep])], ["query_id", "id", "distance"])
-
-    found = pairs.mapInArrow(run, "query_id long, id long, distance double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= top_k)
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            b = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            for at in range(0, len(asked), 512):
+                d = distances(a[at : at + 512], b, metric)
+                d[asked[at : at + 512, None] == ids[None]] = np.inf
+                d, i = np.concatenate([best_d[at : at + 512], d], 1), np.concatenate([best_i[at : at + 512], np.broadcast_to(ids, d.shape)], 1)
+                near = np.lexsort((i, d), axis=1)[:, :top_k]
+                best_d[at : at + 512], best_i[at : at + 512] = np.take_along_axis(d, near, 1), np.take_along_axis(i, near, 1)
+        keep = np.isfinite(best_d)
+        yield pa.record_batch([pa.array(np.repeat(asked, top_k)[keep.ravel()]), pa.array(best_i[keep]), pa.array(best_d[keep])], ["query_id", "id", "distance"])
+
+    return run

@@ -387,10 +387,13 @@ _nearest("l2", "l2")
 _nearest("filter", "cosine", "label = 3")
 
 
-@query("knn_quantized")
+_BYTES = "(SELECT vec_id, label, CASE WHEN s = 0 THEN list_transform(v, lambda x: 0.0::DOUBLE) ELSE list_transform(v, lambda x: greatest(-127, least(127, round(x / s))) * s) END AS embedding FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) / 127 AS s FROM embeddings))"
+
+
+@query("knn_quantized", f"SELECT a.vec_id AS id, round({_VECTORS['cosine']}, 4) AS distance FROM {_BYTES} a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b ORDER BY {_VECTORS['cosine']}, a.vec_id LIMIT 10")
 def knn_quantized(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "embeddings")
-    return search.nearest_quantized(e, "vec_id", "embedding", _first_vector(e), 10)
+    return search.nearest_quantized(e, "vec_id", "embedding", _first_vector(e), 10).select("id", F.round("distance", 4).alias("distance"))
 
 
 _HYBRID = _BM25.rstrip() + """,
@@ -410,16 +413,37 @@ def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("id", F.round("score", 9).alias("score"))
 
 
-@query("knn_all")
-def knn_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest of every vector."""
-    return search.all_nearest(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
+def _all_nearest_sql(metric: str, source: str = "embeddings", keep: str = "true") -> str:
+    """The ten nearest others of every vector whose id is divisible by 50, of all vectors of ``source``."""
+    pairs = f"SELECT b.vec_id AS query_id, a.vec_id AS id, {_VECTORS[metric]} AS d FROM {source} a, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) b WHERE a.vec_id <> b.vec_id AND a.{keep}".replace("a.true", "true")
+    return f"SELECT query_id, id, d, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM ({pairs})) WHERE rank <= 10"
+
+
+def _every(name: str, metric: str, keep: str | None = None) -> None:
+    @query(f"knn_all{name}", f"SELECT query_id, id, round(d, 4) AS distance, rank FROM ({_all_nearest_sql(metric, keep=keep or 'true')})")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = _read(spark, sf_dir, "embeddings")
+        found = search.all_nearest(e, "vec_id", "embedding", 10, metric, F.expr("vec_id % 50 = 0"), indexed=e.where(keep) if keep else None)
+        return found.withColumn("distance", F.round("distance", 4))
 
 
-@query("ann_recall")
+_every("", "cosine")
+_every("_dot", "dot")
+_every("_l2", "l2")
+_every("_filter", "cosine", "label = 3")
+
+
+@query(
+    "ann_recall",
+    f"WITH e AS ({_all_nearest_sql('cosine')}), r AS ({_all_nearest_sql('cosine', _BYTES)}), "
+    "m AS (SELECT e.query_id, count(r.id) AS n, min(r.rank) AS best, sum(CASE WHEN r.id IS NULL THEN 0.0::DOUBLE ELSE 1 / log2(r.rank + 1) END) AS dcg, count(*) AS total FROM e LEFT JOIN r ON r.query_id = e.query_id AND r.id = e.id GROUP BY e.query_id) "
+    "SELECT round(avg((n > 0)::INTEGER), 6) AS hit_rate, round(avg(n / total), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / best, 0)), 6) AS mrr, "
+    "round(avg(dcg / list_sum(list_transform(range(1, least(total, 10) + 1), lambda i: 1 / log2(i + 1)))), 6) AS ndcg FROM m",
+)
 def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How well vectors of bytes find the ten nearest of every vector."""
-    e = _read(spark, sf_dir, "embeddings")
-    exact = search.all_nearest(e, "vec_id", "embedding", 10)
-    rough = e.select("vec_id", F.col("embedding").alias("v")).select("vec_id", search.dequantize(quantize(F.col("v"))).alias("embedding"))
-    return search.ranking_quality(search.all_nearest(rough, "vec_id", "embedding", 10), exact, 10)
+    """How well vectors of bytes find the ten nearest of every vector whose id is divisible by 50."""
+    e, asked = _read(spark, sf_dir, "embeddings"), F.expr("vec_id % 50 = 0")
+    rough = e.select("vec_id", search.dequantize(quantize(F.col("embedding"))).alias("embedding"))
+    nearest = [search.all_nearest(e, "vec_id", "embedding", 10, "cosine", asked, indexed=x) for x in (e, rough)]
+    quality = search.ranking_quality(nearest[1], nearest[0], 10)
+    return quality.select(*[F.round(c, 6).alias(c) for c in quality.columns])

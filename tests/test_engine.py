@@ -285,3 +285,86 @@ def test_append_numbers_rows(db, spark):
     db.append("i", spark.range(40).selectExpr("id AS v"))
     assert sorted(r[0] for r in rows(db, "SELECT k FROM i")) == list(range(1, 41))
     assert db.query("INSERT INTO i (v) VALUES (1)").lastrowid == 41
+
+
+def test_append_and_import_take_defaults(db, spark, tmp_path):
+    db.query("CREATE TABLE t (n int DEFAULT 7, at timestamp NOT NULL DEFAULT CURRENT_TIMESTAMP, s text)")
+    before = dt.datetime.now(dt.UTC).replace(tzinfo=None) - dt.timedelta(seconds=1)
+    db.append("t", spark.range(3).selectExpr("concat('a', id) AS s"))
+    (tmp_path / "rows.json").write_text('{"s": "x"}\n\n{"s": "y", "n": 1, "at": {"$t": "timestamp", "v": "2020-01-01 00:00:00"}}\n{"n": null}\n')
+    assert db.import_json("t", str(tmp_path / "rows.json")) == 3
+    got = {r[0]: (r[1], r[2]) for r in rows(db, "SELECT s, n, at FROM t")}
+    assert {k: v[0] for k, v in got.items()} == {"a0": 7, "a1": 7, "a2": 7, "x": 7, "y": 1, None: None}
+    assert got["y"][1] == dt.datetime(2020, 1, 1) and all(v[1] >= before for k, v in got.items() if k != "y")
+    db.query("CREATE TABLE k (k int AUTO_INCREMENT, s text)")
+    assert db.import_json("k", str((tmp_path / "k.json").write_text('{"s": "x"}\n{"s": "y"}\n') and tmp_path / "k.json")) == 2
+    assert sorted(r[0] for r in rows(db, "SELECT k FROM k")) == [1, 2]
+
+
+def test_cascade_follows_keys_by_a_join(db, spark):
+    db.query("CREATE TABLE p (id int PRIMARY KEY)")
+    db.query("CREATE TABLE c (id int PRIMARY KEY, p int REFERENCES p(id) ON DELETE CASCADE)")
+    db.query("CREATE TABLE g (id int PRIMARY KEY, c int REFERENCES c(id) ON DELETE CASCADE)")
+    db.append("p", spark.range(2000).select("id"))
+    db.append("c", spark.range(4000).selectExpr("id", "id % 2000 AS p"))
+    db.append("g", spark.range(4000).selectExpr("id", "CASE WHEN id % 5 > 0 THEN id END AS c"))
+    assert db.query("DELETE FROM p WHERE id < 1500").count == 1500
+    assert [db.query(f"SELECT count(*) FROM {t}").rows[0][0] for t in "pcg"] == [500, 1000, 1600]
+    with pytest.raises(E.DuplicateId):
+        db.append("p", spark.range(1999, 2001).select("id"))
+    assert db.append("p", spark.range(3).select("id")) == 3
+
+
+def test_text_index_follows_its_table(db, spark, monkeypatch):
+    from brindle.operators import search
+    from brindle.sources import textindex
+
+    monkeypatch.setattr(textindex, "MOST", 3)
+    db.query("CREATE TABLE d (id int PRIMARY KEY, body text, ws text)")
+    texts = lambda a, b: spark.range(a, b).selectExpr("id", "concat('word', id % 7, ' common Text ', repeat('pad ', id % 5)) AS body", "concat('w', id % 2) AS ws")
+    db.append("d", texts(0, 60))
+    db.create_text_index("d", "body")
+
+    def agree(filter=None):
+        df = db.scan("d")
+        keep = None if filter is None else df.ws == filter["ws"]
+        want = {r["id"]: r["score"] for r in search.search_text(df, "id", "body", "word3 common absent", 1000, keep).collect()}
+        got = {r["id"]: r["score"] for r in db.search_text_df("d", "body", "word3 common absent", 1000, filter).collect()}
+        assert got == pytest.approx(want) and want
+        return len(want)
+
+    index = textindex.TextIndex(db.store, "d", db.table_schema("d").get("body").key)
+    assert agree() == 60 and len(index.segments()) == 1
+    for k in range(60, 120, 20):
+        db.append("d", texts(k, k + 20))
+        assert agree() == k + 20
+    assert len(index.segments()) < 4  # merged
+    db.query("UPDATE d SET body = 'word3' WHERE id < 10")
+    db.query("DELETE FROM d WHERE id >= 20 AND id <= 29")
+    assert agree() == 110 and agree({"ws": "w1"}) == 55
+    plan = db.search_text_df("d", "body", "word3")._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and "word3" in plan.split("PushedFilters")[1]
+    db.drop_text_index("d", "body")
+    assert not index.segments()
+
+
+def test_vector_index_recall(db, spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 32))
+    x = (centres[rng.integers(0, 40, 2000)] + 0.6 * rng.normal(size=(2000, 32))).astype(np.float32)
+    db.query("CREATE TABLE v (id int PRIMARY KEY, emb vector(32))")
+    frame = lambda a, b: spark.createDataFrame([(k, x[k].tolist()) for k in range(a, b)], "id long, emb array<float>")
+    db.append("v", frame(0, 1500))
+    db.create_vector_index("v", "emb", metric="l2")
+    db.append("v", frame(1500, 2000))
+    assert db.vector_indexing_backlog() > 0
+    recall = []
+    for q in range(0, 2000, 250):
+        want = set(np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[:10].tolist())
+        got = db.search_vector_df("v", "emb", x[q].tolist(), 10).collect()
+        assert got[0]["id"] == q and got[0]["distance"] == pytest.approx(0)
+        recall.append(len(want & {r["id"] for r in got}) / 10)
+    assert np.mean(recall) >= 0.9 and db.vector_indexing_backlog() == 0
+    assert [r["id"] for r in db.search_vector_df("v", "emb", x[5].tolist(), 3, exact=True).collect()][0] == 5
