@@ -3,6 +3,11 @@
 No SQL expresses the toxicity model, the near-duplicate groups or the packing, so ``ORACLE_SQL`` is None
 and the stages are tested against brute force on small fixtures.  A stage decides by its whole input;
 clean documents stay, with all their columns, until the last stage packs them.
+
+Rows with null texts or ids pass every filter (a null text says nothing, and rows without an id are each
+their own) and are packed with their separator alone.  Ties are resolved as the operators say: of equal texts
+and of a group's documents the one with the smallest ``doc_id`` stays.  An empty table gives no rows, and
+empty ``labels`` or ``benchmark`` remove nothing.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import decontaminate, exact_dedup, near_dedup, packing, toxicity
 from brindle.llm.common import table
-from brindle.storage import cut
+from brindle.storage import cut, drop
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -50,8 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents, one after another."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply the stages to the documents, one after another; a stage's table goes once the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs, _ = cut(stage(spark, docs, sf_dir))
+        docs, at = cut(stage(spark, docs, sf_dir))
+        if before:
+            drop(spark, before)
+        before = at
     return docs
