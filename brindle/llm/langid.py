@@ -97,7 +97,7 @@ def fit_text(labelled: DataFrame, sample: int = SAMPLE, seed: int = 17) -> TextM
         k, bucket = np.nonzero(total)
         yield pa.record_batch([pa.array(k << BITS | bucket), pa.array(total[k, bucket])], ["at", "n"])
 
-    found = picked.select("t", "lang").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    found = picked.select("t", "lang").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     counts = np.zeros((len(languages) << BITS), np.float64)
     counts[found["at"].to_numpy(np.int64)] = found["n"].to_numpy(float)
     return TextModel(languages, counts.reshape(len(languages), -1).T)

@@ -174,7 +174,7 @@ def frequencies(sets: DataFrame) -> np.ndarray:
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "n"])
 
     out = np.zeros(SKETCH, np.int64)
-    found = sets.select("s").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    found = sets.select("s").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out[found["at"].to_numpy()] = found["n"].to_numpy()
     return out
 

@@ -162,7 +162,7 @@ def _learn(labelled: DataFrame) -> tuple[list[Lexicon], np.ndarray]:
         odds = F.log((nt + 0.5) / (n1 - nt + 0.5)) - F.log((nc + 0.5) / (n0 - nc + 0.5))
         z = odds / F.sqrt(1 / (nt + 0.5) + 1 / (nc + 0.5))
         tests += [((odds > 2.5) & (z > 4)).alias(f"strong{k}"), ((odds > 1.5) & (z > 2.3)).alias(f"weak{k}")]
-    passed = both.select("u", *tests).where(" or ".join(f"strong{k} or weak{k}" for k in range(3))).toPandas()
+    passed = both.select("u", *tests).where(" or ".join(f"strong{k} or weak{k}" for k in range(3))).toArrow().to_pandas()
     units = passed["u"].to_numpy(np.int64).view(np.uint64)
     out = [Lexicon(units[passed[f"strong{k}"].to_numpy(bool)], units[passed[f"weak{k}"].to_numpy(bool)]) for k in range(3)]
     drop(spark, toxic_at)
