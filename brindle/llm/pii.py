@@ -16,16 +16,19 @@ of any form: a run of tokens with digits, or one token.  A string that stands in
 the others are new instances of the slot's kind and take part in the next round.
 
 Defined results: one row (``doc_id``, ``kind``, ``start``, ``end``, ``value``, ``score``, ``seed``) for each
-occurrence, with character offsets in the text.  Null and empty texts have none; rows with a null or
-repeated ``doc_id`` give theirs like any other; an empty table gives no rows; other columns are ignored.
+occurrence, with character offsets in the text.  Identifiers have any length; a context word of more than
+``WORD`` signs counts by the ``WORD`` that are next to the slot, as the only one on its side.  Null and empty texts
+have none, very long ones theirs like any other; rows with a null or repeated ``doc_id`` give theirs each time;
+patterns and instances at a threshold pass it, so ties need no order; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import BitFilter, q, table
-from brindle.llm.textkit import chunks
+from brindle.llm.textkit import buffers, chunks, mix, powers
 from brindle.storage import cut, drop
 
 ROUNDS, DAMP, CONFIDENT, SUPPORT, ACCEPT, SHARE = 3, 1.0, 0.75, 3, 0.75, 0.5
@@ -46,10 +49,17 @@ REST = (
 )
 ISSUER = re.compile(r"4|5[1-5]|2[2-7]|3[47]|6(?:011|5)")
 ANNOUNCED = re.compile(r"(?i)(?:token|secret|key|password|passwd|pwd)\W{0,4}$")
-AFTER = re.compile(r"\s*(\S+)")
+WORD = 64
+AFTER = re.compile(rf"\s*(\S{{1,{WORD}}})")
 UNIT = re.compile(r"\S*\d\S*(?: \S*\d\S*)*|\S+")
 EDGE = "\"'`()[]{}<>=:,;.!?"
-RUN = re.compile(r"\d\S* \S*\d")
+DIGIT = re.compile(r"\d+")
+ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_INK, _DIGITS = np.ones(256, bool), np.zeros(256, bool)
+_INK[[*range(9, 14), *range(28, 33)]] = False
+_DIGITS[48:58] = True
+_BODY = _INK.copy()
+_BODY[[ord(c) for c in EDGE]] = False
 LEAD = re.compile(r"[\w.\-]*(?:=|[=:][\"'])(?=\w)")
 SCHEMA = "doc_id long, kind string, start int, end int, value string, seed double, patterns array<string>"
 
@@ -104,12 +114,14 @@ def around(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
         while at and text[at - 1].isspace():
             at -= 1
         to = at
-        while at and not text[at - 1].isspace():
+        while at and to - at < WORD and not text[at - 1].isspace():
             at -= 1
         if at == to:
             break
         left.insert(0, text[at:to])
-    fold = lambda w: re.sub(r"\d+", "9", w.lower())
+        if to - at == WORD:
+            break
+    fold = lambda w: DIGIT.sub("9", w.lower())
     return [fold(w) for w in left], [fold(right.group(1))] if right else []
 
 
@@ -134,17 +146,20 @@ def found_in(text: str) -> Iterator[tuple[str, int, int, str, float | None, list
         yield kind, m.start(), m.end(), value, seed, patterns
 
 
-def units(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """Start, end, value and the word before of whatever may stand in a slot, without quotes and punctuation around it."""
-    last = ""
+def units(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and value of whatever may stand in a slot, without quotes and punctuation around it."""
     for m in UNIT.finditer(text):
-        unit, at = m.group(), m.start()
-        lead = LEAD.match(unit)
-        a = lead.end() if lead else len(unit) - len(unit.lstrip(EDGE))
-        value = unit[a:].rstrip(EDGE)
-        if value:
-            yield at + a, at + a + len(value), value, unit[:a] or last
-        last = unit.rsplit(" ", 1)[-1]
+        found = inside(m.group(), m.start())
+        if found:
+            yield found
+
+
+def inside(unit: str, at: int) -> tuple[int, int, str] | None:
+    """The value in a unit that starts at ``at``; None if it is all marks."""
+    lead = LEAD.match(unit)
+    a = lead.end() if lead else len(unit) - len(unit.lstrip(EDGE))
+    value = unit[a:].rstrip(EDGE)
+    return (at + a, at + a + len(value), value) if value else None
 
 
 def uncovered(text: str, spans: list[tuple]) -> list[tuple]:
@@ -155,15 +170,106 @@ def uncovered(text: str, spans: list[tuple]) -> list[tuple]:
     return [x for x in spans if not any(start <= x[0] < end for start, end in known)]
 
 
-def slots_in(text: str, kinds: dict[str, set[str]], confident: set[str]) -> list[tuple[int, int, str, str, list[str]]]:
-    """(start, end, value, kind, patterns) of what stands in the slots of confident patterns; kinds by the word before."""
-    out = []
-    for start, end, value, last in units(text):
-        for kind in kinds.get(re.sub(r"\d+", "9", last.lower()), ()):
-            patterns = [p for p in slot_patterns(kind, *around(text, start, end)) if p in confident]
-            if patterns:
-                out.append((start, end, value, kind, patterns))
-    return uncovered(text, out)
+class Slots:
+    """Confident patterns of two context words, and an automaton that finds their words before the slot in one pass over a text."""
+
+    def __init__(self, confident: set[str]):
+        import ahocorasick
+
+        self.confident, self.automaton = confident, ahocorasick.Automaton()
+        kinds: dict[str, set[str]] = {}
+        for p in confident:
+            kind, context = p.split("|[", 1)
+            kinds.setdefault(" " + context.split("\t")[0], set()).add(kind)
+        for key, own in kinds.items():
+            self.automaton.add_word(key, (key[-1], sorted(own)))
+        if kinds:
+            self.automaton.make_automaton()
+
+    def found(self, text: str) -> list[tuple[int, int, str, str, list[str]]]:
+        """(start, end, value, kind, patterns) of what stands in the slots of a text with single spaces between its words."""
+        low = " " + text.lower()
+        if len(low) != len(text) + 1:  # a few letters change their length
+            low = " " + "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        at, lost, gone = [], [0], 0  # where runs of digits became one sign, and how many signs were lost up to there
+        for m in DIGIT.finditer(low):
+            if m.end() - m.start() > 1:
+                gone += m.end() - m.start() - 1
+                at.append(m.end() - gone)
+                lost.append(gone)
+        out = {}
+        for end, (last, kinds) in self.automaton.iter(DIGIT.sub("9", low) if DIGIT.search(low) else low):
+            # The context's last sign in ``low`` has the place of the sign after it in ``text``.
+            end += lost[bisect_right(at, end + 1)]
+            if end == len(text) or not (text[end] == " " or last in EDGE):
+                continue
+            m = UNIT.match(text, end + (text[end] == " "))
+            span = m and inside(m.group(), m.start())
+            if not span:
+                continue
+            for kind in kinds:
+                if (span[0], kind) not in out:
+                    patterns = [p for p in slot_patterns(kind, *around(text, *span[:2])) if p in self.confident]
+                    if patterns:
+                        out[span[0], kind] = (*span, kind, patterns)
+        return uncovered(text, list(out.values()))
+
+
+def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(start, end, hash) of the tokens of a run of texts without punctuation around them, and of runs of tokens with digits; as ``units`` has them but for leads.
+
+    Tokens that may have a lead are listed besides.  All is done over the bytes at once.  White space beyond
+    ASCII counts as such.
+    """
+    n = len(data)
+    if ODD_SPACE.search(memoryview(data)):
+        data = data.copy()
+        for m in list(ODD_SPACE.finditer(data.tobytes())):
+            data[m.start() : m.end()] = 10
+    ink = _INK[data]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    inside_ = np.zeros(n + 2, bool)
+    inside_[1:-1] = ink
+    start = np.flatnonzero((inside_[1:] & (~inside_[:-1] | edge))[:n])
+    end = np.flatnonzero(inside_[:-1] & (~inside_[1:] | edge))
+    body = np.flatnonzero(_BODY[data])  # the signs that are not stripped from a value's ends
+    lo, hi = np.searchsorted(body, start), np.searchsorted(body, end)
+    sign = np.flatnonzero(data == 61)
+    if n > 1:
+        sign = np.concatenate([sign, np.flatnonzero((data[:-1] == 58) & ((data[1:] == 34) | (data[1:] == 39)))])
+    leads = [(int(start[k]), int(end[k])) for k in np.unique(np.searchsorted(start, sign, "right") - 1)]
+    digits = np.concatenate([[0], np.cumsum(_DIGITS[data])])
+    digit = digits[end] > digits[start]
+    full = hi > lo
+    first = np.where(full, body[np.minimum(lo, len(body) - 1)] if len(body) else 0, start)
+    last = np.where(full, (body[np.maximum(hi - 1, 0)] + 1) if len(body) else 0, start)
+    a, b = [first[full]], [last[full]]
+    if len(start) > 1:
+        joined = digit[1:] & digit[:-1] & (start[1:] == end[:-1] + 1) & ~edge[start[1:]] & ~edge[end[:-1]]
+        joined &= data[np.minimum(end[:-1], n - 1)] == 32
+        head = np.flatnonzero(joined & ~np.concatenate([[False], joined[:-1]]))
+        tail = np.flatnonzero(joined & ~np.concatenate([joined[1:], [False]])) + 1
+        a.append(first[head])
+        b.append(last[tail])
+    start, end = np.concatenate(a), np.concatenate(b)
+    p, inverse = powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])
+    return start, end, mix((total[end] - total[start]) * inverse[start]), leads
+
+
+def value_hashes(values: DataFrame) -> BitFilter:
+    """A filter of the hashes of written ``values`` (value), as ``spans`` makes them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(_hashes(*buffers(batch.column(0))))], ["h"])
+
+    hashes, path = cut(values.distinct().mapInArrow(run, "h long"))
+    out = BitFilter(hashes)
+    drop(values.sparkSession, path)
+    return out
 
 
 _WITH_MAIL, _WITHOUT = re.compile(f"{MAIL}|{REST}"), re.compile(REST)
@@ -186,78 +292,79 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(q(id_col).cast("long").alias("doc_id"), q(text_col).alias("t")).where("t is not null").mapInArrow(run, SCHEMA)
 
 
-def _texts(docs: DataFrame, per_text: Callable, schema: str, names: list[str], types: list[pa.DataType], merge: bool = False) -> DataFrame:
-    """Rows that ``per_text(doc_id, text)`` lists for each text; ``merge`` adds their number to the distinct rows of a batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            rows = [row for doc_id, text in pairs for row in per_text(doc_id, text)]
-            if merge:
-                rows = [(*row, n) for row, n in Counter(rows).items()]
-            if rows:
-                yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*rows), types)], names)
-
-    return docs.mapInArrow(run, schema)
+def _hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the byte stretches between ``at``, as longs."""
+    p, inverse = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=total[1:])
+    return mix((total[at[1:]] - total[at[:-1]]) * inverse[at[:-1]]).view(np.int64)
 
 
 def occurrences(docs: DataFrame, values: DataFrame) -> DataFrame:
     """(doc_id, start, end, value) of units that may be among the written ``values``; whoever joins them drops the rest."""
-    maybe = BitFilter(values.select(F.crc32(F.col("value").cast("binary")).alias("h")).distinct())
+    maybe = value_hashes(values)
 
-    def per_text(doc_id: int | None, text: str) -> list[tuple]:
-        spans = list(units(text))
-        passed = maybe.passes(np.array([zlib.crc32(x[2].encode()) for x in spans], np.int64)) if spans else ()
-        return [(doc_id, *x[:3]) for x in uncovered(text, [x for x, p in zip(spans, passed) if p])]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in chunks(batches, "t"):
+            start, _, h, leads = spans(data, offsets)
+            at = np.concatenate([start[maybe.passes(h.view(np.int64))], np.array([a for a, _ in leads], np.int64)])
+            out = []
+            for k in np.unique(np.searchsorted(offsets, at, "right") - 1).tolist():
+                text, doc_id = rows.column(1)[k].as_py(), rows.column(0)[k].as_py()
+                own = list(units(text))
+                raw = [x[2].encode() for x in own]
+                ends = np.cumsum([0, *map(len, raw)])
+                passed = maybe.passes(_hashes(np.frombuffer(b"".join(raw), np.uint8), ends)) if own else ()
+                out += [(doc_id, *x) for x in uncovered(text, [x for x, p in zip(own, passed) if p])]
+            if out:
+                yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["doc_id", "start", "end", "value"])
 
-    return _texts(docs, per_text, "doc_id long, start int, end int, value string", ["doc_id", "start", "end", "value"], [pa.int64(), pa.int32(), pa.int32(), pa.string()])
+    return docs.mapInArrow(run, "doc_id long, start int, end int, value string")
 
 
 def total_counts(docs: DataFrame, values: DataFrame) -> DataFrame:
     """(value, total): the occurrences of units, and of single tokens in longer ones, that may be among the written ``values``."""
-    maybe = BitFilter(values.select(F.crc32(F.col("value").cast("binary")).alias("h")).distinct())
+    maybe = value_hashes(values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, seen = Counter(), Counter()
-            for text in batch.column(1).to_pylist():
-                words.update(text.split())
-                if RUN.search(text):
-                    seen.update(value for _, _, value, _ in units(text) if " " in value)
-            for word, n in words.items():
-                for _, _, value, _ in units(word):
-                    seen[value] += n
+        for _, data, offsets in chunks(batches, "t"):
+            start, end, h, leads = spans(data, offsets)
+            keep = np.flatnonzero(maybe.passes(h.view(np.int64)))
+            _, first, n = np.unique(h[keep], return_index=True, return_counts=True)
+            raw = data.tobytes()
+            seen = Counter({raw[a:b].decode("utf-8", "replace"): k for a, b, k in zip(start[keep[first]].tolist(), end[keep[first]].tolist(), n.tolist())})
+            for a, b in leads:  # values behind a lead, one by one
+                token = raw[a:b].decode("utf-8", "replace")
+                found = inside(token, 0)
+                if found and found[2] != token.strip(EDGE):
+                    seen[found[2]] += 1
             if seen:
-                keep = maybe.passes(np.array([zlib.crc32(v.encode()) for v in seen], np.int64))
-                yield pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["value", "n"]).filter(pa.array(keep))
+                yield pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["value", "n"])
 
     return docs.mapInArrow(run, "value string, n long").groupBy("value").agg(F.sum("n").alias("total"))
 
 
 def proposals(docs: DataFrame, patterns: DataFrame) -> tuple[DataFrame, list[str]] | None:
     """(kind, value, pattern, mark) of what stands in the slots of confident patterns, and written paths; None without such patterns.  ``docs`` is (doc_id, t)."""
-    confident = {r.pattern for r in patterns.where(F.col("pattern").rlike(r"^[a-z]+\|\[")).select("pattern").collect()}
-    kinds: dict[str, set[str]] = {}
-    for p in confident:
-        kind, context = p.split("|[", 1)
-        kinds.setdefault(context.split("\t")[0].rsplit(" ", 1)[-1], set()).add(kind)
+    confident = {r.pattern for r in patterns.where(F.col("pattern").rlike(r"^[a-z]+\|\[")).select("pattern").toLocalIterator()}
     if not confident:
         return None
 
-    # A text that lacks a part of every pattern has no slot: most texts end here.
-    parts = [context.split("\t") for context in sorted({p.split("|[", 1)[1] for p in confident})]
-
-    def per_text(_: int | None, text: str) -> list[tuple]:
-        low = " ".join(re.sub(r"\d+", "9", text.lower()).split())
-        if not any(all(part in low for part in x) for x in parts):
-            return []
-        return [(kind, value, p) for _, _, value, kind, patterns in slots_in(text, kinds, confident) for p in [*patterns, ""]]
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = Slots(confident)
+        for batch in batches:
+            rows: Counter = Counter()
+            for text in batch.column(1).to_pylist():
+                for _, _, value, kind, found in slots.found(" ".join(text.split())):
+                    rows.update([(kind, value, ""), *((kind, value, p) for p in found)])
+            if rows:
+                yield pa.record_batch([*(pa.array(list(x), pa.string()) for x in zip(*rows)), pa.array(list(rows.values()), pa.int64())], ["kind", "value", "pattern", "n"])
 
-    raw = _texts(docs, per_text, "kind string, value string, pattern string, n long", ["kind", "value", "pattern", "n"], [pa.string(), pa.string(), pa.string(), pa.int64()], merge=True)
+    raw = docs.mapInArrow(per_batch, "kind string, value string, pattern string, n long")
     edges, edges_at = cut(raw.groupBy("kind", "value", "pattern").agg(F.sum("n").alias("n")))
-    total, total_at = cut(total_counts(docs, edges.select("value").distinct()))
-    inside = edges.where("pattern = ''").join(total, "value").select("kind", "value", F.when(F.col("n") < SHARE * F.col("total"), 0.0).alias("mark"))
-    return edges.where("pattern != ''").join(inside, ["kind", "value"]).select("kind", "value", "pattern", "mark"), [edges_at, total_at]
+    total, total_at = cut(total_counts(docs, edges.select("value")))
+    inside_ = edges.where("pattern = ''").join(total, "value").select("kind", "value", F.when(F.col("n") < SHARE * F.col("total"), 0.0).alias("mark"))
+    return edges.where("pattern != ''").join(inside_, ["kind", "value"]).select("kind", "value", "pattern", "mark"), [edges_at, total_at]
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS, docs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import packing, textkit, token_codec
 
@@ -38,8 +39,22 @@ def test_coder_round_trip():
     assert len(coded[1][1]) < 120 and len(coded[5][1]) < 500  # what repeats is nearly free
 
 
+def test_coder_takes_large_vocabularies():
+    rng = np.random.default_rng(5)
+    for size in (131_071, 131_072, 199_000, token_codec.MOST_IDS):
+        ids = (rng.zipf(1.2, 17_000) % size).astype(np.uint32)
+        first = np.array([0, 8192, 16_384, 17_000])
+        for (_, payload), a, b in zip(token_codec.encode_blocks(ids, first, size), first[:-1], first[1:]):
+            if b - a < 1000 or size == 199_000:
+                assert (token_codec.decode_block(payload, b - a, size) == ids[a:b]).all()
+    with pytest.raises(ValueError, match="vocabulary"):
+        token_codec.encode_blocks(np.array([5], np.uint32), np.array([0, 1]), 5)
+    with pytest.raises(ValueError, match="vocabulary"):
+        token_codec.encode_blocks(np.array([5], np.uint32), np.array([0, 1]), token_codec.MOST_IDS + 1)
+
+
 def test_blocks_round_trip(docs):
-    some = docs.where("n_chars < 9000").select("doc_id", "text", "lang")
+    some = docs.select("doc_id", "text", "lang")
     blocks = token_codec.encode(some).cache()
     t = token_codec.Tokenizer()
     want = {r.doc_id: t.encoding.encode_ordinary(r.text) for r in some.collect()}
@@ -95,6 +110,40 @@ def test_operators_of_the_algorithm_keep_solutions_valid():
     assert packing.fitness(packing.epoch(people, sizes, 1000, rng)[0], sizes, 1000) >= before
 
 
+def fewest_bins(sizes, capacity):
+    """By trying all: the fewest bins for a few pieces."""
+    best = len(sizes)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(sizes):
+            best = len(rooms)
+            return
+        for at in {r: i for i, r in enumerate(rooms) if r >= sizes[k]}.values():
+            place(k + 1, [r - sizes[k] if i == at else r for i, r in enumerate(rooms)])
+        place(k + 1, [*rooms, capacity - sizes[k]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    for _ in range(4):
+        sizes = sorted((int(x) for x in rng.integers(15, 70, 11)), reverse=True)
+        frame = spark.createDataFrame([(k, " ".join(["w"] * (n - 1))) for k, n in enumerate(sizes)], "doc_id long, text string")
+        assert check_packing(packing.pack(frame, capacity=100).collect(), Counter(dict(enumerate(sizes))), 100) == fewest_bins(sizes, 100)
+
+
+def test_rows_without_ids_are_spread_over_shards(spark):
+    """Missing and repeated ids fill no shard more than others."""
+    frame = spark.range(40_000).selectExpr("CASE WHEN id % 2 = 0 THEN 5 END AS doc_id", "'a b c' AS text")
+    rows = packing.pack(frame).groupBy((F.col("bin_id") / (1 << 32)).cast("int").alias("shard")).count().collect()
+    assert len(rows) == 10 and max(r["count"] for r in rows) < 1.2 * 4000
+
+
 def test_packing_messy(messy, empty):
     rows = packing.pack(messy).collect()
     want = Counter()
@@ -120,3 +169,56 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in kept.select("doc_id").collect()}
     assert {(r.doc_id, r.piece, r.n_tokens) for r in corpus_pipeline.run(spark, SF).collect()} == {(r.doc_id, r.piece, r.n_tokens) for r in packed}
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Each filter's decisions, from loops over its own input."""
+    import corpus_pipeline
+    from test_dedup import jaccard_components, words
+    from test_models import brute_matches
+
+    from brindle.llm import decontaminate, near_dedup, toxicity
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = lambda df: {r.doc_id: r.text for r in df.collect()}
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    clean = stages["toxicity"](spark, docs, SF).cache()
+    assert set(rows(clean)) == {i for i, t in rows(docs).items() if model.probability(*textkit.buffers(pa.array([t], pa.string())))[0] < toxicity.REJECT}
+    single = stages["exact_dedup"](spark, clean, SF).cache()
+    first = {}
+    for i, t in sorted(rows(clean).items()):
+        first.setdefault(t, i)
+    assert set(rows(single)) == set(first.values())
+    apart = stages["near_dedup"](spark, single, SF).cache()
+    pairs = jaccard_components(sorted(rows(single).items()), near_dedup.THRESHOLD)
+    root = {i: i for i in rows(single)}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    kept = set(rows(apart))
+    assert {i for i in root if find(i) == i} <= kept  # whoever is first of its group, or alone, stays
+    assert len(kept) - len({find(i) for i in root}) <= 0.05 * (len(root) - len({find(i) for i in root}))
+    some = apart.where("n_chars < 6000").limit(70).cache()
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    held = {d for d, _ in brute_matches(sorted(rows(some).items()), items, decontaminate.THRESHOLD)}
+    assert set(rows(stages["decontamination"](spark, some, SF))) == set(rows(some)) - held
+    assert all(words(t) for t in rows(some).values())
+
+
+@pytest.mark.parametrize("which", ["messy", "empty"])
+def test_pipeline_of_messy_and_empty_tables(spark, messy, empty, tmp_path, which):
+    import corpus_pipeline
+
+    table = {"messy": messy, "empty": empty}[which]
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, None, 1), (None, 1, 0), (1, 1, 0)] if which == "messy" else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "a b c d e f"), (2, "")] if which == "messy" else [], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == ({1, 3, 4, 5, 6, 7, 8, 9, None} if which == "messy" else set())
