@@ -428,25 +428,24 @@ class SelectCompiler:
         schema = self.tables[[s.alias for s in self.sources].index(bound.label)][0]
         return bound.column.name == "id" or any(i.column == bound.column.name for i in schema.indexes)
 
-    def access(self, k: int, own: list[ast.Predicate], probe: str | None = None) -> list[str]:
-        """The lines for one table: how it is read and what filters it."""
+    def access(self, k: int, own: list[ast.Predicate]) -> list[str]:
+        """The lines for one table: how it is read and what filters it.  A lookup reads only files that may hold the value."""
         alias, rest = self.sources[k].alias, list(own)
-        line = f"INDEX PROBE {probe}" if probe else f"SCAN {alias}"
-        if not probe:
-            equal = [p for p in own if isinstance(p, ast.Compare) and p.op == "=" and sum(isinstance(x, ast.Ref) for x in (p.left, p.right)) == 1]
-            pairs = [(p, *((p.left, p.right) if isinstance(p.left, ast.Ref) else (p.right, p.left))) for p in equal]
-            rank = lambda ref: 0 if ref.name == "id" else 1 if self.indexed(self.scope.find(ref)) else 2
-            if null := next((p for p, _, v in pairs if v.value is None), None):
-                return [f"NO ACCESS {alias}  (equality on NULL matches no row)"] if null else []
-            if pairs:
-                p, ref, value = min(pairs, key=lambda x: rank(x[1]))
-                rest.remove(p)
-                if rank(ref) == 0:
-                    line = f"POINT LOOKUP {alias}.id = {show(value.value)}"
-                elif rank(ref) == 1:
-                    line = f"INDEX LOOKUP {alias}.{ref.name} = {show(value.value)}"
-                else:
-                    line = f"SCAN {alias}  (equality {ref.name} = {show(value.value)}, no index)"
+        line = f"SCAN {alias}"
+        equal = [p for p in own if isinstance(p, ast.Compare) and p.op == "=" and sum(isinstance(x, ast.Ref) for x in (p.left, p.right)) == 1]
+        pairs = [(p, *((p.left, p.right) if isinstance(p.left, ast.Ref) else (p.right, p.left))) for p in equal]
+        rank = lambda ref: 0 if ref.name == "id" else 1 if self.indexed(self.scope.find(ref)) else 2
+        if null := next((p for p, _, v in pairs if v.value is None), None):
+            return [f"NO ACCESS {alias}  (equality on NULL matches no row)"] if null else []
+        if pairs:
+            p, ref, value = min(pairs, key=lambda x: rank(x[1]))
+            rest.remove(p)
+            if rank(ref) == 0:
+                line = f"POINT LOOKUP {alias}.id = {show(value.value)}"
+            elif rank(ref) == 1:
+                line = f"INDEX LOOKUP {alias}.{ref.name} = {show(value.value)}"
+            else:
+                line = f"SCAN {alias}  (equality {ref.name} = {show(value.value)}, no index)"
         return [line, *(f"  filter: {self.text(p)}" for p in rest)]
 
     def explain(self) -> list[str]:
@@ -461,12 +460,8 @@ class SelectCompiler:
             (own[labels.pop()] if len(labels) == 1 else residual).append(p)
         lines = self.access(0, own[self.sources[0].alias])
         for k, (join, (a, b)) in enumerate(zip(s.joins, self.links), 1):
-            loop = join.kind != "right" and self.indexed(b)
-            streamed = loop and len(s.joins) == 1 and not s.aggregated and not s.order_by
-            right = self.access(k, own[join.source.alias], f"{b} = {a}" if loop else None)
-            head = [f"JOIN {join.kind.upper()} ({'index nested-loop' if loop else 'hash join'})", f"  on: {a} = {b}"]
-            if streamed:
-                head.append("  streamed: no joined rows are materialized")
+            right = self.access(k, own[join.source.alias])
+            head = [f"JOIN {join.kind.upper()} (broadcast or sort-merge, by size)", f"  on: {a} = {b}"]
             lines = [*head, *("  " + x for x in [*lines, *right])]
         lines = [*(f"filter: {self.text(p)}" for p in residual), *lines]
         deeper = lambda xs: ["  " + x for x in xs]

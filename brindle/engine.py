@@ -21,10 +21,10 @@ from pyspark.sql import types as T
 from brindle import errors as E
 from brindle.dialect import ast
 from brindle.dialect.binder import Binder
-from brindle.dialect.compiler import Output, Predicates, Scope, SelectCompiler, literal
+from brindle.dialect.compiler import Output, Predicates, Scope, SelectCompiler, conjuncts, literal
 from brindle.dialect.parser import parse
 from brindle.operators import dml, search
-from brindle.sources import textindex, vectorindex
+from brindle.sources import equalityindex, textindex, vectorindex
 from brindle.sources.store import State, Store
 from brindle.types import Column, ForeignKey, Index, Schema, check, coerce, from_tagged, kind_of, to_tagged
 
@@ -130,8 +130,39 @@ class Reads:
             raise E.TableNotFound(f"table not found: {table}")
         return state.schema(table), state.frame(table)
 
+    def _held(self, table: str, column: str, value: Any) -> DataFrame:
+        """The rows of the files that may hold ``value`` in an indexed column; all rows where no index says."""
+        schema, df = self._resolve(table)
+        c = schema.get(column)
+        if table in self.engine.attached or value is None or column != "id" and not any(i.column == column for i in schema.indexes):
+            return df
+        files, index = self._state().tables[table]["files"], equalityindex.EqualityIndex(self.engine.store, table, c.key)
+        if not index.segments():
+            return df
+        return self.engine.store.read(index.files_with(files, literal(coerce(value, c, True), c.type).cast(c.field().dataType)), schema.struct())
+
     def _compiled(self, select: ast.Select) -> SelectCompiler:
-        return SelectCompiler(select, self._resolve, self.engine.compat_outer_pushdown)
+        """A table that an indexed column is compared with a value in is read from the files that may hold it.
+
+        The condition of WHERE holds for no other row and for no row of nulls, so that is true of outer joins too.
+        """
+        sources = [select.source, *(j.source for j in select.joins)]
+
+        def resolve(table: str) -> tuple[Schema, DataFrame]:
+            schema, df = self._resolve(table)
+            own = [x for x in sources if x.table == table]
+            for p in conjuncts(select.where):
+                if not isinstance(p, ast.Compare) or p.op != "=" or len(own) > 1:
+                    continue
+                ref, value = (p.left, p.right) if isinstance(p.left, ast.Ref) else (p.right, p.left)
+                if isinstance(ref, ast.Ref) and isinstance(value, ast.Literal) and (ref.table == own[0].alias or ref.table is None and len(sources) == 1) and schema.get(ref.name):
+                    try:
+                        return schema, self._held(table, ref.name, value.value)
+                    except E.EngineError:  # a value of another type: the compiler says what is wrong with it
+                        continue
+            return schema, df
+
+        return SelectCompiler(select, resolve, self.engine.compat_outer_pushdown)
 
     def _read(self, statement: ast.Select | ast.Explain) -> Result:
         if isinstance(statement, ast.Explain):
@@ -163,8 +194,8 @@ class Reads:
         return column
 
     def get(self, table: str, id: Any) -> dict | None:
-        schema, df = self._resolve(table)
-        row = df.where(F.col(self._id(schema).key) == F.lit(id)).first()
+        schema, _ = self._resolve(table)
+        row = self._held(table, self._id(schema).name, id).where(F.col(self._id(schema).key) == F.lit(id)).first()
         return None if row is None else self._record(schema, row)
 
     def scan(self, table: str) -> DataFrame:
@@ -185,7 +216,8 @@ class Reads:
         c = schema.get(column)
         if c is None:
             raise E.ColumnNotFound(f"unknown column '{column}'")
-        return self.scan(table).where(F.col(f"`{column}`") == literal(coerce(value, c, True), c.type))
+        rows = self._held(table, column, value).select(*[F.col(x.key).alias(x.name) for x in schema.columns])
+        return rows.where(F.col(f"`{column}`") == literal(coerce(value, c, True), c.type))
 
     def find_eq_batch(self, table: str, column: str, value: Any, after_id: Any = None, limit: int = 1000) -> list[dict]:
         df = self.find_eq(table, column, value)
@@ -981,7 +1013,10 @@ class Engine(Reads):
         statement = Binder(params).bind(parse(sql))
         if isinstance(statement, (ast.Select, ast.Explain)):
             return self._read(statement)
-        return self._change(lambda w: w.run(statement))
+        out = self._change(lambda w: w.run(statement))
+        if isinstance(statement, ast.CreateIndex):
+            self.index_files(statement.table)
+        return out
 
     def insert(self, table: str, record: dict) -> Any:
         return self._change(lambda w: w.insert(table, [record]))[0][0].get("id")
@@ -994,7 +1029,17 @@ class Engine(Reads):
 
     def append(self, table: str, df: DataFrame) -> int:
         """Insert all rows of a DataFrame in one commit; their number."""
-        return self._change(lambda w: w.append(table, df))
+        n = self._change(lambda w: w.append(table, df))
+        self.index_files(table)
+        return n
+
+    def index_files(self, table: str) -> None:
+        """Let the equality indexes of a table cover all its files.  Files that they do not cover are always read."""
+        state = self._state()
+        schema, files = state.schema(table), state.tables[table]["files"]
+        for name in dict.fromkeys([*(["id"] if schema.get("id") else []), *(i.column for i in schema.indexes)]):
+            key = schema.get(name).key
+            equalityindex.EqualityIndex(self.store, table, key).catch_up(files, schema.struct(), key)
 
     def bulk_insert_sorted(self, table: str, df: DataFrame, position: str) -> None:
         """Insert rows whose ids increase with ``position`` and are above all that the table has."""
@@ -1221,6 +1266,8 @@ class Engine(Reads):
                 entry["files"] = self.store.write(df)
 
         self._change(work)
+        for name in [table] if table else self._state().tables:
+            self.index_files(name)
 
     checkpoint = compact
 

@@ -1,90 +1,45 @@
-"""A persisted inverted index: immutable segments of postings sorted by term, each over some of a table's files.
+"""A persisted inverted index: segments of postings sorted by term.
 
-A table is a list of immutable files, so an index entry never changes: a segment names the files that it
-covers, files that no segment covers get a new one at the next search, and postings of files that the table
-has no more are passed over.  More than ``MOST`` segments are merged.  A search reads the postings of its
-terms only (they are sorted, so Parquet skips the other row groups); the corpus figures are in the segments' notes.
+Files that no segment covers are indexed by the next search.  A search reads the postings of its terms only;
+the corpus figures are in the segments' notes.
 """
 
 from __future__ import annotations
 
-import json
-import os
-import shutil
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.operators import search
-from brindle.sources.store import Store
-
-MOST = 8
-
-
-class TextIndex:
-    def __init__(self, store: Store, table: str, column: str):
-        self.store, self.spark = store, store.spark
-        self.root = Path(store.root) / "index" / f"{table}.{column}"
+from brindle.sources.segments import Segments, file_of_row
 
-    def segments(self) -> dict[str, dict[str, list[int]]]:
-        """The files that each segment covers, with their documents and tokens."""
-        return {p.stem: json.loads(p.read_text()) for p in self.root.glob("*.json")}
 
-    def _publish(self, rows: DataFrame, notes: dict[str, list[int]]) -> None:
-        name = uuid.uuid4().hex
-        rows.repartition("term").sortWithinPartitions("term").write.option("compression", "zstd").parquet(f"file://{self.root}/{name}")
-        note = self.root / f".{name}"
-        note.write_text(json.dumps(notes))
-        os.replace(note, self.root / f"{name}.json")
-
-    def _segment(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"file://{self.root}/{name}")
+class TextIndex(Segments):
+    kind = "text"
 
     def catch_up(self, files: list[str], schema: T.StructType, id_key: str, text_key: str) -> None:
         """Index the files that no segment covers, and merge if there are many segments."""
-        self.root.mkdir(parents=True, exist_ok=True)
-        known = self.segments()
-        new = sorted(set(files) - {f for notes in known.values() for f in notes})
-        if new:
-            parts = F.slice(F.split(F.col("_metadata.file_path"), "/"), -3, 3)
-            rows = search.postings(self.store.read(new, schema).select(id_key, text_key, F.array_join(parts, "/").alias("file")), id_key, text_key, "file")
-            sizes = self.store.read(new, schema).select(F.array_join(parts, "/").alias("file"), search.materialised(text_key).alias("t")).where(F.size("t") > 0)
-            notes = {f: [0, 0] for f in new} | {r.file: [r.n, r.total] for r in sizes.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("t")).alias("total")).collect()}
-            self._publish(rows, notes)
-        known = self.segments()
-        if len(known) > MOST:
-            live = set(files)
-            rows = None
-            for name, notes in known.items():
-                part = self._live(name, notes, live)
-                rows = part if rows is None else rows.unionByName(part)
-            self._publish(rows, {f: x for notes in known.values() for f, x in notes.items() if f in live})
-            for name in known:
-                (self.root / f"{name}.json").unlink()
-                shutil.rmtree(self.root / name)
-
-    def _live(self, name: str, notes: dict[str, list[int]], live: set[str]) -> DataFrame:
-        rows, dead = self._segment(name), [f for f in notes if f not in live]
-        return rows.where(~F.col("file").isin(dead)) if dead else rows
+        new = self.uncovered(files)
+        if not new:
+            return
+        rows = search.postings(self.store.read(new, schema).select(id_key, text_key, file_of_row().alias("file")), id_key, text_key, "file")
+        sizes = self.store.read(new, schema).select(file_of_row().alias("file"), search.materialised(text_key).alias("t")).where(F.size("t") > 0)
+        notes = {f: [0, 0] for f in new} | {r.file: [r.n, r.total] for r in sizes.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("t")).alias("total")).collect()}
+        self.publish(rows, notes, "term")
+        self.merge(files, "term")
 
     def search(self, files: list[str], query: str, keep: DataFrame | None = None) -> DataFrame:
         """(id, score) of the documents of ``files`` that hold a term, and are in ``keep`` (id) if that is given."""
-        live, terms, rows, n, total = set(files), search.query_terms(self.spark, query), None, 0, 0
+        here, terms, rows, n, total = set(files), search.query_terms(self.spark, query), None, 0, 0
         for name, notes in self.segments().items():
-            part = self._live(name, notes, live).where(F.col("term").isin(terms)).drop("file")
+            part = self.live(name, notes, here).where(F.col("term").isin(terms)).drop("file")
             rows = part if rows is None else rows.unionByName(part)
-            n += sum(x[0] for f, x in notes.items() if f in live)
-            total += sum(x[1] for f, x in notes.items() if f in live)
+            n += sum(x[0] for f, x in notes.items() if f in here)
+            total += sum(x[1] for f, x in notes.items() if f in here)
         if rows is None or not n:
             return self.spark.createDataFrame([], "id string, score double")
         return search.scored(rows, terms, n, total / n, keep)
 
-    def drop(self) -> None:
-        shutil.rmtree(self.root, ignore_errors=True)
-
 
 def top(scores: DataFrame, top_k: int) -> DataFrame:
     return scores.orderBy(F.desc("score"), "id").limit(top_k)
