@@ -183,7 +183,9 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     blank = (size(own) == 0) & F.col("declared").isNull() & F.col("host").isNull()
     lang = F.when(~blank, F.element_at(names, F.array_position("logs", F.col("top")).cast("int")))
     share = F.when(~blank, 1.0 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
-    return df.select("doc_id", "page_id", lang.alias("lang"), share.alias("probability"))
+    out, _ = cut(df.select("doc_id", "page_id", lang.alias("lang"), share.alias("probability")))
+    drop(spark, *paths)
+    return out
 
 
 def labelled_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

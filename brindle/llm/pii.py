@@ -367,8 +367,8 @@ def proposals(docs: DataFrame, patterns: DataFrame) -> tuple[DataFrame, list[str
     return edges.where("pattern != ''").join(inside_, ["kind", "value"]).select("kind", "value", "pattern", "mark"), [edges_at, total_at]
 
 
-def bootstrap(found: DataFrame, rounds: int = ROUNDS, docs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(instances (kind, value, mark, score, slot), patterns (pattern, confidence)) of a cut candidate table.
+def bootstrap(found: DataFrame, rounds: int = ROUNDS, docs: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(instances (kind, value, mark, score, slot), patterns (pattern, confidence)) of a cut candidate table, and their paths.
 
     With ``docs`` (doc_id, t), slots of confident patterns propose instances between the rounds; ``slot`` marks those.
     """
@@ -376,7 +376,7 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, docs: DataFrame | None = N
     # An instance that an announcing word made a seed once is one everywhere.
     instances, instances_at = cut(found.groupBy("kind", "value").agg(F.max("seed").alias("mark")).withColumn("score", F.coalesce("mark", F.lit(0.0))).withColumn("slot", F.lit(False)))
     edges, edges_at = cut(found.select("kind", "value", F.explode("patterns").alias("pattern")).distinct())
-    patterns = None
+    patterns, patterns_at = None, None
     for turn in range(rounds):
         scored = edges.join(instances, ["kind", "value"])
         strength = F.sum("score") / (F.count(F.lit(1)) + DAMP)
@@ -384,8 +384,8 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, docs: DataFrame | None = N
         belief = edges.join(confident, "pattern").groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("belief"))
         updated = instances.join(belief, ["kind", "value"], "left").select("kind", "value", "mark", F.coalesce("mark", "belief", F.lit(0.0)).alias("score"), "slot")
         new, new_at = cut(updated)
-        drop(spark, instances_at)
-        instances, instances_at, patterns = new, new_at, confident
+        drop(spark, instances_at, *([patterns_at] if patterns_at else []))
+        instances, instances_at, patterns, patterns_at = new, new_at, confident, confident_at
         proposed = proposals(docs, confident) if docs is not None and turn < rounds - 1 else None
         if proposed:
             rows, paths = proposed
@@ -396,23 +396,25 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, docs: DataFrame | None = N
             drop(spark, instances_at, edges_at, rows_at, *paths)
             instances, instances_at, edges, edges_at = new, new_at, wide, wide_at
     drop(spark, edges_at)
-    return instances, patterns
+    return instances, patterns, [instances_at, patterns_at]
 
 
 def identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kind, start, end, value, score, seed) of each identifier."""
-    found, _ = cut(candidates(docs, id_col, text_col))
+    spark = docs.sparkSession
+    found, found_at = cut(candidates(docs, id_col, text_col))
     texts = docs.select(q(id_col).cast("long").alias("doc_id"), q(text_col).alias("t")).where("t is not null")
-    instances, _ = bootstrap(found, docs=texts)
-    accepted = instances.where(F.col("score") >= ACCEPT).select("kind", "value", "score", (F.col("mark") == 1).alias("is_seed"), "slot")
-    accepted, _ = cut(accepted)
+    instances, _, paths = bootstrap(found, docs=texts)
+    accepted, accepted_at = cut(instances.where(F.col("score") >= ACCEPT).select("kind", "value", "score", (F.col("mark") == 1).alias("is_seed"), "slot"))
     known = found.join(accepted.where("not slot"), ["kind", "value"])
     out = known.select("doc_id", "kind", "start", "end", "value", "score", F.coalesce("is_seed", F.lit(False)).alias("seed"))
     others = accepted.where("slot")
-    if others.isEmpty():
-        return out
-    more = occurrences(texts, others.select("value")).join(others, "value")
-    return out.unionByName(more.select("doc_id", "kind", "start", "end", "value", "score", F.lit(False).alias("seed")))
+    if not others.isEmpty():
+        more = occurrences(texts, others.select("value")).join(others, "value")
+        out = out.unionByName(more.select("doc_id", "kind", "start", "end", "value", "score", F.lit(False).alias("seed")))
+    out, _ = cut(out)
+    drop(spark, found_at, accepted_at, *paths)
+    return out
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

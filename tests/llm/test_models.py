@@ -224,6 +224,19 @@ def test_language_messy(messy, empty, docs):
     assert all(r.lang is None for r in langid.identify(langid.document_rows(messy), none).collect())
 
 
+def test_other_tables_with_nulls_and_clashing_columns(spark, messy, empty, docs):
+    """``pages``, ``labels`` and ``benchmark`` may be empty, hold nulls, repeat rows and have columns of any name."""
+    clash = lambda df: df.withColumns({c: F.lit("clash") for c in ("id", "t", "y", "n", "h", "host", "declared", "fold", "lang", "vote", "start", "kind")})
+    model = langid.fit_text(langid.labelled_rows(docs))
+    pages = clash(spark.createDataFrame([(1, "http://a.de/", "<p>der und die</p><script> unclosed <b> x"), (1, None, None), (None, "", "<!-- open"), (2, "x", "")], "page_id long, url string, html string"))
+    got = langid.identify(langid.page_rows(pages), model).collect()
+    assert len(got) == 4 and sorted(str(r.page_id) for r in got) == ["1", "1", "2", "None"]
+    assert langid.identify(langid.page_rows(pages.limit(0)), model).count() == 0
+    labels = clash(spark.createDataFrame([(1, 1, 0), (1, 1, 0), (7, 0, 1), (None, 1, 1), (8, None, None)], "doc_id long, quality int, toxic int"))
+    assert quality.score(messy, quality.fit(messy, labels)).count() == messy.count()
+    assert toxicity.score(messy, toxicity.fit(messy, labels)).count() == messy.count()
+
+
 # identifiers
 def test_identifiers(spark):
     rows = [
@@ -274,7 +287,7 @@ def test_graph_scores_against_plain_python(spark):
         confident = {p: c for p, c in confidence.items() if c >= pii.CONFIDENT and sum(score[v] >= pii.ACCEPT for v in own[p]) >= pii.SUPPORT}
         belief = {v: 1 - np.prod([1 - min(confident[p], 0.999) for w, p in edges if w == v and p in confident] or [1.0]) for v in marks}
         score = {v: belief[v] if marks[v] is None else marks[v] for v in marks}
-    instances, _ = pii.bootstrap(spark.createDataFrame(rows, pii.SCHEMA))
+    instances, *_ = pii.bootstrap(spark.createDataFrame(rows, pii.SCHEMA))
     assert {r.value: r.score for r in instances.collect()} == pytest.approx(score)
 
 
