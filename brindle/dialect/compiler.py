@@ -347,15 +347,18 @@ class SelectCompiler:
         return self.outputs, df.select(*[F.col(o.inner).alias(o.header) for o in self.outputs])
 
     def sort(self, df: DataFrame, keys: list[tuple[SparkColumn, str, ast.Order]]) -> DataFrame:
-        order = []
+        order, made = [], {}
         for col, kind, o in keys:
             if o.collation and kind != "text":
                 raise SqlError(f"COLLATE is for text; {o.key} is {kind}")
             if kind == "vector":
                 raise SqlError(f"vectors have no order; ORDER BY {o.key} is not defined")
             for part in sort_keys(col, o.collation or "unicode") if kind == "text" else [col]:
-                order.append(part.desc_nulls_last() if o.descending else part.asc_nulls_first())
-        return df.orderBy(*order) if order else df
+                # A key is made once a row, as a column; in the sort itself it would be made at every comparison.
+                made[f"_order{len(made)}"] = part
+                key = F.col(f"_order{len(made) - 1}")
+                order.append(key.desc_nulls_last() if o.descending else key.asc_nulls_first())
+        return df.withColumns(made).orderBy(*order).drop(*made) if order else df
 
     def projected(self, df: DataFrame) -> DataFrame:
         several = len(self.sources) > 1
