@@ -31,6 +31,7 @@ from brindle.types import Column, ForeignKey, Index, Schema, check, coerce, from
 DIGITS = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 VECTOR_OPTIONS = {"quantized": False, "metric": "cosine", "ef_construction": 200, "m": 16, "mode": "sync"}
 CASCADE_DEPTH, CASCADE_ROWS = 64, 100_000
+SMALL_FILES, SMALL_BYTES = 64, 8 << 20
 _counter = itertools.count()
 _id_lock = threading.Lock()
 _last_id = 0
@@ -1006,7 +1007,29 @@ class Engine(Reads):
             if state.changed or state.redefined or state.tables != base["tables"]:
                 manifest = {"version": base["version"] + 1, "tables": state.tables, "changed": state.changed, "redefined": sorted(state.redefined)}
                 self.store._publish(manifest)
-            return out
+        for table in state.changed:
+            self._merge_small(table)
+        return out
+
+    def _merge_small(self, table: str) -> None:
+        """Put a table's small files together once there are more than ``SMALL_FILES``: rows stay as they are.
+
+        A file is rewritten once for each time that many small ones have gathered, and large ones never are.
+        """
+        size = lambda f: (self.store.root / f).stat().st_size
+        few = lambda files: len(files) <= SMALL_FILES or sum(1 for f in files if size(f) < SMALL_BYTES) <= SMALL_FILES
+        if few(self.store.current()["tables"].get(table, {"files": []})["files"]):
+            return
+        with self.store.lock():
+            base = self.store.current()
+            state = State(self.store, base)
+            if table not in state.tables or few(state.tables[table]["files"]):
+                return
+            small = [f for f in state.tables[table]["files"] if size(f) < SMALL_BYTES]
+            rest = [f for f in state.tables[table]["files"] if f not in set(small)]
+            n = max(1, sum(map(size, small)) // SMALL_BYTES)
+            state.tables[table]["files"] = rest + self.store.write(self.store.read(small, state.schema(table).struct()).coalesce(n))
+            self.store._publish({"version": base["version"] + 1, "tables": state.tables, "changed": {}, "redefined": []})
 
     def query(self, sql: str, params: Sequence | Mapping | None = None) -> Result:
         """Run one statement."""

@@ -388,3 +388,24 @@ def test_lookups_read_only_files_that_hold_the_value(db, spark):
     assert rows(db, "SELECT a.v FROM t a LEFT JOIN t b ON b.id = a.v WHERE b.k = 'moved'") == [[16]]
     db.compact()
     assert sorted(r[0] for r in rows(db, "SELECT id FROM t WHERE k = 'k3'")) == [15, 17, 18, 19, 100] and db.get("t", 999) is None
+
+
+def test_small_files_are_merged(db, monkeypatch):
+    import brindle.engine
+
+    monkeypatch.setattr(brindle.engine, "SMALL_FILES", 4)
+    db.query("CREATE TABLE s (id int PRIMARY KEY, v int)")
+    snap = None
+    for k in range(12):
+        db.query("INSERT INTO s (id, v) VALUES (?, ?)", [k, k * k])
+        assert len(db._state().tables["s"]["files"]) <= 5
+        if k == 3:
+            snap = db.snapshot()
+    assert rows(db, "SELECT id, v FROM s ORDER BY id") == [[k, k * k] for k in range(12)]
+    assert snap.query("SELECT count(*) FROM s").rows == [[4]]
+    snap.close()
+    with db.transaction() as tx:
+        tx.query("UPDATE s SET v = 0 WHERE id = 1")
+        for k in range(20, 26):
+            db.query("INSERT INTO s (id, v) VALUES (?, 1)", [k])
+    assert rows(db, "SELECT v FROM s WHERE id = 1") == [[0]] and rows(db, "SELECT count(*) FROM s") == [[18]]
