@@ -131,38 +131,41 @@ def _bucket(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(n.astype(np.float64))[1], BUCKETS - 1)
 
 
-def _counts(keys: np.ndarray, ids: np.ndarray, when: np.ndarray, epoch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token, among the tokens with its key before its epoch: those with a smaller id, with its id, and all."""
+def _counts(keys: np.ndarray, ids: np.ndarray, epoch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each token, among the tokens with its key before its epoch: those with a smaller id, with its id, and all; and a number for its key and id.
+
+    Key, id and place are sorted as one integer each (ids and places have 17 bits).
+    """
     n = len(ids)
-    pairs = keys << 17 | ids
-    order = np.argsort(pairs)
-    pairs = pairs[order]
+    pairs = np.sort(keys << 34 | ids << 17 | np.arange(n))
+    order = pairs & 0x1FFFF
+    pairs >>= 17
     new_key, new_pair = np.ones(n, bool), np.ones(n, bool)
     new_pair[1:] = pairs[1:] != pairs[:-1]
     pairs >>= 17
     new_key[1:] = pairs[1:] != pairs[:-1]
 
-    def bounds(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(new).astype(np.int32)
-        group = np.cumsum(new) - 1
-        lo, hi = np.empty(n, np.int32), np.empty(n, np.int32)
-        lo[order] = at[group]
-        hi[order] = np.append(at[1:], np.int32(n))[group]
-        return lo, hi
+    def bounds(new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.append(np.flatnonzero(new).astype(np.int32), np.int32(n))
+        group = np.cumsum(new, dtype=np.int32)
+        return at[group - 1], at[group], group
 
-    (key_lo, key_hi), (pair_lo, pair_hi) = bounds(new_key), bounds(new_pair)
-    less, same, all_ = (np.zeros(n, np.int32) for _ in range(3))
+    (key_lo, key_hi, _), (pair_lo, pair_hi, group) = bounds(new_key), bounds(new_pair)
     sorted_epoch = epoch[order]
+    when = np.argsort(sorted_epoch, kind="stable")
+    ends = np.cumsum(np.bincount(sorted_epoch))
+    counts = np.zeros((4, n), np.int32)
+    counts[3, order] = group
     cum = np.zeros(n + 1, np.int32)
-    for e in range(1, int(epoch.max(initial=0)) + 1):
-        here = when[e]
+    for e in range(1, len(ends)):
+        here = when[ends[e - 1] : ends[e]]
         np.cumsum(sorted_epoch < e, out=cum[1:])
-        a = cum[key_lo[here]]
-        b = cum[pair_lo[here]]
-        less[here] = b - a
-        same[here] = cum[pair_hi[here]] - b
-        all_[here] = cum[key_hi[here]] - a
-    return less, same, all_
+        a, b = cum[key_lo[here]], cum[pair_lo[here]]
+        to = order[here]
+        counts[0, to] = b - a
+        counts[1, to] = cum[pair_hi[here]] - b
+        counts[2, to] = cum[key_hi[here]] - a
+    return counts[0], counts[1], counts[2], counts[3]
 
 
 def _weights(hits: np.ndarray, trials: np.ndarray) -> np.ndarray:
@@ -181,12 +184,14 @@ def intervals(ids: np.ndarray, block: np.ndarray, position: np.ndarray, vocabula
     one = np.zeros(n, np.int64)
     one[1:] = ids[:-1] + 1
     one[position == 0] = 0
-    two = np.zeros(n, np.int64)
-    two[1:] = one[:-1]
-    two[position <= 1] = 0
     base = block.astype(np.int64)
-    keys = [base, base << 17 | one, base << 34 | one << 17 | two]
-    counted = [_counts(k, ids, when, epoch) for k in keys]
+    *by_none, _ = _counts(base, ids, epoch)
+    *by_one, pair = _counts(base << 17 | one, ids, epoch)
+    two = np.zeros(n, np.int64)  # the last two ids are what the token before had as context and id
+    two[1:] = pair[:-1]
+    two = np.where(position == 0, (1 << 17) + 1 + base, two)
+    *by_two, _ = _counts(two, ids, epoch)
+    counted = [by_none, by_one, by_two]
     low = np.zeros(n, np.int64)
     width = np.zeros(n, np.int64)
     room = np.full(n, (1 << TOTAL_BITS) - vocabulary, np.int64)
