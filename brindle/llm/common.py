@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,9 +49,9 @@ class BitFilter:
     def may(self, h: Column) -> Column:
         """Whether a column of longs passes; only that column goes to Python, the row stays.  Nulls do not pass."""
 
-        @F.pandas_udf("boolean")
-        def test(x: pd.Series) -> pd.Series:
-            return pd.Series(self.passes(x.to_numpy(np.int64)))
+        @F.arrow_udf("boolean")
+        def test(x: pa.Array) -> pa.Array:
+            return pa.array(self.passes(x.to_numpy(zero_copy_only=False)))
 
         return h.isNotNull() & test(F.coalesce(h, F.lit(0)))
 
