@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import BitFilter, q, table
-from brindle.llm.textkit import buffers, chunks, mix, powers
+from brindle.llm.textkit import buffers, chunks, mix
 from brindle.storage import cut, drop
 
-ROUNDS, DAMP, CONFIDENT, SUPPORT, ACCEPT, SHARE = 3, 1.0, 0.75, 3, 0.75, 0.5
+ROUNDS, DAMP, CONFIDENT, SUPPORT, ACCEPT, SHARE, SLICE = 3, 1.0, 0.75, 3, 0.75, 0.5, 200_000
 MAIL = r"(?P<email>(?<![\w.+\-])[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+)"
 REST = (
     r"(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))"
@@ -52,8 +52,9 @@ ANNOUNCED = re.compile(r"(?i)(?:token|secret|key|password|passwd|pwd)\W{0,4}$")
 WORD = 64
 AFTER = re.compile(rf"\s*(\S{{1,{WORD}}})")
 UNIT = re.compile(r"\S*\d\S*(?: \S*\d\S*)*|\S+")
+SIGN, SIGNED = re.compile(r"[\d@]"), re.compile(r"\S*[\d@]\S*(?:\s\S*[\d@]\S*)*")
 EDGE = "\"'`()[]{}<>=:,;.!?"
-DIGIT = re.compile(r"\d+")
+DIGIT, RUNS = re.compile("[0-9]+"), re.compile("99+")
 ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _INK, _DIGITS = np.ones(256, bool), np.zeros(256, bool)
 _INK[[*range(9, 14), *range(28, 33)]] = False
@@ -131,19 +132,23 @@ def slot_patterns(kind: str, left: list[str], right: list[str]) -> list[str]:
     return out + [f"{kind}|[{left[-1]}\t{right[0]}"] if left and right else out
 
 
+def described(m: re.Match, text: str, shift: int = 0) -> tuple[str, int, int, str, float | None, list[str]]:
+    """Kind, start, end, value, seed mark and patterns of a match that begins ``shift`` signs later in ``text``."""
+    kind, value, start, end = m.lastgroup, m.group(), m.start() + shift, m.end() + shift
+    seed, word = checked(kind, value, text[max(0, start - 64) : start])
+    left, right = around(text, start, end)
+    patterns = [f"{kind}|{'' if kind == 'secret' else shape(value)}|{word}", *slot_patterns(kind, left, right)]
+    if left:
+        patterns += [f"{kind}|<{left[-1]}", f"{kind}|<{' '.join(left)}|{word}"]
+    if right:
+        patterns.append(f"{kind}|>{right[0]}")
+    return kind, start, end, value, seed, patterns
+
+
 def found_in(text: str) -> Iterator[tuple[str, int, int, str, float | None, list[str]]]:
     """Candidates of a text: kind, start, end, value, seed mark and patterns."""
-    pattern = _WITH_MAIL if "@" in text else _WITHOUT
-    for m in pattern.finditer(text):
-        kind, value = m.lastgroup, m.group()
-        seed, word = checked(kind, value, text[max(0, m.start() - 64) : m.start()])
-        left, right = around(text, *m.span())
-        patterns = [f"{kind}|{'' if kind == 'secret' else shape(value)}|{word}", *slot_patterns(kind, left, right)]
-        if left:
-            patterns += [f"{kind}|<{left[-1]}", f"{kind}|<{' '.join(left)}|{word}"]
-        if right:
-            patterns.append(f"{kind}|>{right[0]}")
-        yield kind, m.start(), m.end(), value, seed, patterns
+    for m in (_WITH_MAIL if "@" in text else _WITHOUT).finditer(text):
+        yield described(m, text)
 
 
 def units(text: str) -> Iterator[tuple[int, int, str]]:
@@ -162,12 +167,35 @@ def inside(unit: str, at: int) -> tuple[int, int, str] | None:
     return (at + a, at + a + len(value), value) if value else None
 
 
+def covered(text: str, at: int) -> bool:
+    """Whether a candidate of the text covers the sign at ``at``: the tokens with digits or @ around it are searched."""
+    before = lambda end: max(text.rfind(x, 0, end) for x in " \n\t\r") + 1
+    start = before(at)
+    m = SIGNED.match(text, start)
+    if not m:
+        return False
+    while start and SIGN.search(text, to := before(start - 1), start - 1):
+        start = to
+    part = text[start : m.end()]
+    return any(x.start() <= at - start < x.end() for x in (_WITH_MAIL if "@" in part else _WITHOUT).finditer(part))
+
+
 def uncovered(text: str, spans: list[tuple]) -> list[tuple]:
     """The spans (start, end, ...) that no candidate covers at their start."""
-    if not spans:
-        return spans
-    known = [(start, end) for _, start, end, *_ in found_in(text)]
-    return [x for x in spans if not any(start <= x[0] < end for start, end in known)]
+    return [x for x in spans if not covered(text, x[0])]
+
+
+def right_of(low: str, at: int) -> str | None:
+    """The word after the slot that begins at ``at``; None if that takes a closer look (digits, a lead)."""
+    to = low.find(" ", at)
+    unit = low[at:] if to < 0 else low[at:to]
+    if "9" in unit or "=" in unit or ":" in unit:
+        return None
+    tail = unit[len(unit.rstrip(EDGE)) :]
+    if tail or to < 0:
+        return tail[:WORD]
+    after = low.find(" ", to + 1)
+    return low[to + 1 : after if after >= 0 else None][:WORD]
 
 
 class Slots:
@@ -177,13 +205,15 @@ class Slots:
         import ahocorasick
 
         self.confident, self.automaton = confident, ahocorasick.Automaton()
-        kinds: dict[str, set[str]] = {}
+        keys: dict[str, tuple[set[str], dict[str, set[str]]]] = {}
         for p in confident:
             kind, context = p.split("|[", 1)
-            kinds.setdefault(" " + context.split("\t")[0], set()).add(kind)
-        for key, own in kinds.items():
-            self.automaton.add_word(key, (key[-1], sorted(own)))
-        if kinds:
+            left, _, right = context.partition("\t")
+            two, by_right = keys.setdefault(" " + left, (set(), {None: set()}))
+            (by_right.setdefault(right, set()) if right else two).add(kind)
+        for key, (two, by_right) in keys.items():
+            self.automaton.add_word(key, (key[-1], two, by_right))
+        if keys:
             self.automaton.make_automaton()
 
     def found(self, text: str) -> list[tuple[int, int, str, str, list[str]]]:
@@ -191,22 +221,30 @@ class Slots:
         low = " " + text.lower()
         if len(low) != len(text) + 1:  # a few letters change their length
             low = " " + "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        for sign in "012345678":
+            low = low.replace(sign, "9")
         at, lost, gone = [], [0], 0  # where runs of digits became one sign, and how many signs were lost up to there
-        for m in DIGIT.finditer(low):
-            if m.end() - m.start() > 1:
+        if "99" in low:
+            for m in RUNS.finditer(low):
                 gone += m.end() - m.start() - 1
                 at.append(m.end() - gone)
                 lost.append(gone)
+            low = RUNS.sub("9", low)
         out = {}
-        for end, (last, kinds) in self.automaton.iter(DIGIT.sub("9", low) if DIGIT.search(low) else low):
+        for place, (last, two, by_right) in self.automaton.iter(low):
             # The context's last sign in ``low`` has the place of the sign after it in ``text``.
-            end += lost[bisect_right(at, end + 1)]
+            end = place + lost[bisect_right(at, place + 1)]
             if end == len(text) or not (text[end] == " " or last in EDGE):
                 continue
+            if not two and low[place + 1 : place + 2] == " " and right_of(low, place + 2) not in by_right:
+                continue
             m = UNIT.match(text, end + (text[end] == " "))
             span = m and inside(m.group(), m.start())
             if not span:
                 continue
+            kinds = two
+            if len(by_right) > 1 and (after := AFTER.match(text, span[1])):
+                kinds = two | by_right.get(DIGIT.sub("9", after.group(1).lower()), set())
             for kind in kinds:
                 if (span[0], kind) not in out:
                     patterns = [p for p in slot_patterns(kind, *around(text, *span[:2])) if p in self.confident]
@@ -226,37 +264,50 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         data = data.copy()
         for m in list(ODD_SPACE.finditer(data.tobytes())):
             data[m.start() : m.end()] = 10
-    ink = _INK[data]
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    inside_ = np.zeros(n + 2, bool)
-    inside_[1:-1] = ink
-    start = np.flatnonzero((inside_[1:] & (~inside_[:-1] | edge))[:n])
-    end = np.flatnonzero(inside_[:-1] & (~inside_[1:] | edge))
-    body = np.flatnonzero(_BODY[data])  # the signs that are not stripped from a value's ends
-    lo, hi = np.searchsorted(body, start), np.searchsorted(body, end)
+    start, end = tokens_of(data, offsets)
     sign = np.flatnonzero(data == 61)
     if n > 1:
         sign = np.concatenate([sign, np.flatnonzero((data[:-1] == 58) & ((data[1:] == 34) | (data[1:] == 39)))])
     leads = [(int(start[k]), int(end[k])) for k in np.unique(np.searchsorted(start, sign, "right") - 1)]
-    digits = np.concatenate([[0], np.cumsum(_DIGITS[data])])
-    digit = digits[end] > digits[start]
-    full = hi > lo
-    first = np.where(full, body[np.minimum(lo, len(body) - 1)] if len(body) else 0, start)
-    last = np.where(full, (body[np.maximum(hi - 1, 0)] + 1) if len(body) else 0, start)
+    if not len(start):
+        return start, end, np.zeros(0, np.uint64), leads
+    digit = np.logical_or.reduceat(_DIGITS[data], start)
+    first, last = start.copy(), end.copy()
+    for side, step in ((first, 1), (last, -1)):  # strip marks from the ends of those that have any
+        k = np.arange(len(side))
+        while len(k):
+            k = k[(first[k] < last[k]) & ~_BODY[data[np.minimum(side[k] if step > 0 else side[k] - 1, n - 1)]]]
+            side[k] += step
+    full = last > first
     a, b = [first[full]], [last[full]]
-    if len(start) > 1:
-        joined = digit[1:] & digit[:-1] & (start[1:] == end[:-1] + 1) & ~edge[start[1:]] & ~edge[end[:-1]]
-        joined &= data[np.minimum(end[:-1], n - 1)] == 32
-        head = np.flatnonzero(joined & ~np.concatenate([[False], joined[:-1]]))
-        tail = np.flatnonzero(joined & ~np.concatenate([joined[1:], [False]])) + 1
-        a.append(first[head])
-        b.append(last[tail])
-    start, end = np.concatenate(a), np.concatenate(b)
-    p, inverse = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])
-    return start, end, mix((total[end] - total[start]) * inverse[start]), leads
+    joined = digit[1:] & digit[:-1] & (start[1:] == end[:-1] + 1) & (data[np.minimum(end[:-1], n - 1)] == 32)
+    joined[np.searchsorted(start, offsets[(offsets > start[0]) & (offsets <= start[-1])]) - 1] = False  # not over a text's edge
+    head = np.flatnonzero(joined & ~np.concatenate([[False], joined[:-1]]))
+    tail = np.flatnonzero(joined & ~np.concatenate([joined[1:], [False]])) + 1
+    start, end = np.concatenate([*a, first[head]]), np.concatenate([*b, last[tail]])
+    return start, end, rough_hashes(data, start, end), leads
+
+
+def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the runs of bytes that are no white space, within each text."""
+    n = len(data)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    inside_ = np.zeros(n + 2, bool)
+    inside_[1:-1] = _INK[data]
+    return np.flatnonzero((inside_[1:] & (~inside_[:-1] | edge))[:n]), np.flatnonzero(inside_[:-1] & (~inside_[1:] | edge))
+
+
+def rough_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of the length, the first and the last eight bytes of stretches: enough for a filter before strings are compared."""
+    padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 9,), "<u8", padded, 0, (1,))
+    size = end - start
+    short = np.minimum(size, 8).astype(np.uint64) * np.uint64(8)
+    cut_ = np.where(short == 64, np.uint64(0), np.uint64(64) - short)
+    first = np.where(short == 0, np.uint64(0), (eight[start + 8] << cut_) >> cut_)
+    last = np.where(short == 0, np.uint64(0), eight[end] >> cut_)
+    return mix(mix(first ^ mix(size.astype(np.uint64))) ^ last * np.uint64(0x9E3779B97F4A7C15))
 
 
 def value_hashes(values: DataFrame) -> BitFilter:
@@ -264,7 +315,8 @@ def value_hashes(values: DataFrame) -> BitFilter:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([pa.array(_hashes(*buffers(batch.column(0))))], ["h"])
+            data, at = buffers(batch.column(0))
+            yield pa.record_batch([pa.array(rough_hashes(data, at[:-1], at[1:]).view(np.int64))], ["h"])
 
     hashes, path = cut(values.distinct().mapInArrow(run, "h long"))
     out = BitFilter(hashes)
@@ -275,31 +327,44 @@ def value_hashes(values: DataFrame) -> BitFilter:
 _WITH_MAIL, _WITHOUT = re.compile(f"{MAIL}|{REST}"), re.compile(REST)
 
 
+def regions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of runs of tokens, one white sign apart, that each have a digit or @: no candidate lies elsewhere."""
+    start, end = tokens_of(data, offsets)
+    if not len(start):
+        return start, end
+    has = np.logical_or.reduceat(_DIGITS[data] | (data == 64), start)
+    start, end = start[has], end[has]
+    if len(start) < 2:
+        return start, end
+    near = start[1:] == end[:-1] + 1
+    text = np.searchsorted(offsets, start, "right")
+    near &= text[1:] == text[:-1]
+    return start[np.concatenate([[True], ~near])], end[np.concatenate([~near, [True]])]
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``SCHEMA``; texts without a digit and @ are passed over as bytes."""
+    """Rows of ``SCHEMA``.  Only tokens with a digit or @, and runs of them, are searched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in chunks(batches, "t"):
-            sign = (data == 64) | ((data >= 48) & (data <= 57))
-            total = np.concatenate([[0], np.cumsum(sign)])[offsets]
-            out = []
-            for k in np.flatnonzero(np.diff(total)).tolist():
-                doc_id = rows.column(0)[k].as_py()
-                out += [(doc_id, *found[:3], found[3], *found[4:]) for found in found_in(rows.column(1)[k].as_py())]
+            start, end = regions(data, offsets)
+            raw, out = data.tobytes(), []
+            doc = np.searchsorted(offsets, start, "right") - 1
+            known, text, doc_id = -1, "", None
+            for k, a, b in zip(doc.tolist(), start.tolist(), end.tolist()):
+                part = raw[a:b].decode("utf-8", "replace")
+                for m in (_WITH_MAIL if "@" in part else _WITHOUT).finditer(part):
+                    if k != known:
+                        known, text, doc_id, at = k, rows.column(1)[k].as_py(), rows.column(0)[k].as_py(), int(offsets[k])
+                        plain = text.isascii()
+                    shift = a - at if plain else len(raw[at:a].decode("utf-8", "replace"))
+                    out.append((doc_id, *described(m, text, shift)))
             if out:
                 yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.list_(pa.string())))], ["doc_id", "kind", "start", "end", "value", "seed", "patterns"])
 
     return docs.select(q(id_col).cast("long").alias("doc_id"), q(text_col).alias("t")).where("t is not null").mapInArrow(run, SCHEMA)
 
 
-def _hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hashes of the byte stretches between ``at``, as longs."""
-    p, inverse = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=total[1:])
-    return mix((total[at[1:]] - total[at[:-1]]) * inverse[at[:-1]]).view(np.int64)
-
-
 def occurrences(docs: DataFrame, values: DataFrame) -> DataFrame:
     """(doc_id, start, end, value) of units that may be among the written ``values``; whoever joins them drops the rest."""
     maybe = value_hashes(values)
@@ -314,7 +379,7 @@ def occurrences(docs: DataFrame, values: DataFrame) -> DataFrame:
                 own = list(units(text))
                 raw = [x[2].encode() for x in own]
                 ends = np.cumsum([0, *map(len, raw)])
-                passed = maybe.passes(_hashes(np.frombuffer(b"".join(raw), np.uint8), ends)) if own else ()
+                passed = maybe.passes(rough_hashes(np.frombuffer(b"".join(raw), np.uint8), ends[:-1], ends[1:]).view(np.int64)) if own else ()
                 out += [(doc_id, *x) for x in uncovered(text, [x for x, p in zip(own, passed) if p])]
             if out:
                 yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["doc_id", "start", "end", "value"])
@@ -330,9 +395,8 @@ def total_counts(docs: DataFrame, values: DataFrame) -> DataFrame:
         for _, data, offsets in chunks(batches, "t"):
             start, end, h, leads = spans(data, offsets)
             keep = np.flatnonzero(maybe.passes(h.view(np.int64)))
-            _, first, n = np.unique(h[keep], return_index=True, return_counts=True)
             raw = data.tobytes()
-            seen = Counter({raw[a:b].decode("utf-8", "replace"): k for a, b, k in zip(start[keep[first]].tolist(), end[keep[first]].tolist(), n.tolist())})
+            seen = Counter(raw[a:b].decode("utf-8", "replace") for a, b in zip(start[keep].tolist(), end[keep].tolist()))
             for a, b in leads:  # values behind a lead, one by one
                 token = raw[a:b].decode("utf-8", "replace")
                 found = inside(token, 0)
@@ -345,12 +409,32 @@ def total_counts(docs: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def proposals(docs: DataFrame, patterns: DataFrame) -> tuple[DataFrame, list[str]] | None:
-    """(kind, value, pattern, mark) of what stands in the slots of confident patterns, and written paths; None without such patterns.  ``docs`` is (doc_id, t)."""
-    confident = {r.pattern for r in patterns.where(F.col("pattern").rlike(r"^[a-z]+\|\[")).select("pattern").toLocalIterator()}
-    if not confident:
+    """(kind, value, pattern, mark) of what stands in the slots of confident patterns, and written paths; None without such patterns.  ``docs`` is (doc_id, t).
+
+    Patterns go out in slices of about ``SLICE``, a pass over the texts for each; all that a slot can match
+    have the same word before it, by which they are sliced.
+    """
+    slots = patterns.where(F.col("pattern").rlike(r"^[a-z]+\|\[")).select("pattern")
+    n = slots.count()
+    if not n:
         return None
+    slices = -(-n // SLICE)
+    word = F.substring_index(F.substring_index(F.substring_index("pattern", "|[", -1), "\t", 1), " ", -1)
+    raw = None
+    for k in range(slices):
+        confident = {r.pattern for r in slots.where(F.pmod(F.crc32(word.cast("binary")), F.lit(slices)) == k).toLocalIterator()}
+        part = docs.mapInArrow(_in_slots(confident), "kind string, value string, pattern string, n long")
+        raw = part if raw is None else raw.unionAll(part)
+    edges, edges_at = cut(raw.groupBy("kind", "value", "pattern").agg(F.sum("n").alias("n")))
+    total, total_at = cut(total_counts(docs, edges.select("value")))
+    inside_ = edges.where("pattern = ''").join(total, "value").select("kind", "value", F.when(F.col("n") < SHARE * F.col("total"), 0.0).alias("mark"))
+    return edges.where("pattern != ''").join(inside_, ["kind", "value"]).select("kind", "value", "pattern", "mark"), [edges_at, total_at]
+
 
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _in_slots(confident: set[str]):
+    """Rows (doc_id, t) to (kind, value, pattern, n) of a batch; the empty pattern counts occurrences in any slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = Slots(confident)
         for batch in batches:
             rows: Counter = Counter()
@@ -360,11 +444,7 @@ def proposals(docs: DataFrame, patterns: DataFrame) -> tuple[DataFrame, list[str
             if rows:
                 yield pa.record_batch([*(pa.array(list(x), pa.string()) for x in zip(*rows)), pa.array(list(rows.values()), pa.int64())], ["kind", "value", "pattern", "n"])
 
-    raw = docs.mapInArrow(per_batch, "kind string, value string, pattern string, n long")
-    edges, edges_at = cut(raw.groupBy("kind", "value", "pattern").agg(F.sum("n").alias("n")))
-    total, total_at = cut(total_counts(docs, edges.select("value")))
-    inside_ = edges.where("pattern = ''").join(total, "value").select("kind", "value", F.when(F.col("n") < SHARE * F.col("total"), 0.0).alias("mark"))
-    return edges.where("pattern != ''").join(inside_, ["kind", "value"]).select("kind", "value", "pattern", "mark"), [edges_at, total_at]
+    return run
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS, docs: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[str]]:

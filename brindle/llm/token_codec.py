@@ -63,11 +63,17 @@ class Tokenizer:
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         start, end, plain = self._stretches(data, offsets)
-        # Equal stretches are merged once; two that differ would need equal 64-bit hashes and lengths.
-        p, inverse = tk.powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])
-        h = tk.mix((total[end] - total[start]) * inverse[start]) ^ (end - start).astype(np.uint64)
+        # Equal stretches of up to 24 bytes are merged once; two that differ would need equal 64-bit hashes.
+        padded = np.concatenate([data, np.zeros(32, np.uint8)])
+        eight = np.ndarray((n + 24,), "<u8", padded, 0, (1,))
+        size = end - start
+        h = size.astype(np.uint64)
+        for at in (16, 8, 0):
+            some = np.flatnonzero(size > at) if at else slice(None)
+            spare = np.uint64(64) - np.minimum(size[some] - at, 8).astype(np.uint64) * np.uint64(8)
+            h[some] = tk.mix(h[some] ^ (eight[start[some] + at] << spare >> spare))
+        long = np.flatnonzero(size > 24)
+        h[long] = tk.mix(start[long].astype(np.uint64) | np.uint64(1 << 63))
         order = np.argsort(h)
         new = np.ones(len(h), bool)
         new[1:] = h[order[1:]] != h[order[:-1]]
@@ -126,9 +132,12 @@ class Tokenizer:
         return cuts[:-1], cuts[1:], is_begin[cuts[:-1]]
 
 
+_BUCKET = np.minimum([k.bit_length() for k in range(BLOCK + 1)], BUCKETS - 1).astype(np.int64)
+
+
 def _bucket(n: np.ndarray) -> np.ndarray:
     """How much a context was seen, in powers of two; 0 for never."""
-    return np.minimum(np.frexp(n.astype(np.float64))[1], BUCKETS - 1)
+    return _BUCKET[n]
 
 
 def _counts(keys: np.ndarray, ids: np.ndarray, epoch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
