@@ -10,10 +10,12 @@ rounds of joins over their graph: a pattern's confidence is the mean score of it
 ``DAMP`` unknown ones; an instance's score is the noisy-or of its patterns of at least ``CONFIDENT`` with
 ``SUPPORT`` good instances.  Instances of at least ``ACCEPT`` are identifiers, also where no seed rule knew them.
 
-After each round but the last, confident patterns of two context words take whatever stands in their slot,
-of any form: a run of tokens with digits, or one token.  A string that stands in such slots in less than
-``SHARE`` of its occurrences is a counter-example, so a slot that ordinary words fill loses its confidence;
-the others are new instances of the slot's kind and take part in the next round.
+After each round but the last, patterns of two context words that became confident take whatever stands in their
+slot, of any form: a run of tokens with digits, or one token.  What a slot takes is unknown at first.  If that is so
+much that the pattern's mean score falls below ``CONFIDENT``, as where ordinary words fill the slot, the pattern is
+out from then on and what it took with it.  Of the others' strings, one that stands in their slots in less than ``SHARE`` of
+its occurrences is a counter-example; the rest are new instances of the slot's kind and take part in the next round.
+A part of the texts is searched first: whatever number of strings puts a pattern out there does so in all texts.
 
 Defined results: one row (``doc_id``, ``kind``, ``start``, ``end``, ``value``, ``score``, ``seed``) for each
 occurrence, with character offsets in the text.  Identifiers have any length; a context word of more than
@@ -29,6 +31,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,8 @@ from brindle.llm.textkit import buffers, chunks, mix
 from brindle.storage import cut, drop
 
 ROUNDS, DAMP, CONFIDENT, SUPPORT, ACCEPT, SHARE, SLICE = 3, 1.0, 0.75, 3, 0.75, 0.5, 200_000
+#: One of so many rows is searched first for patterns that take too much; it changes no result.
+FIRST = 32
 MAIL = r"(?P<email>(?<![\w.+\-])[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+)"
 REST = (
     r"(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))"
@@ -204,18 +209,33 @@ class Slots:
     def __init__(self, confident: set[str]):
         import ahocorasick
 
-        self.confident, self.automaton = confident, ahocorasick.Automaton()
-        keys: dict[str, tuple[set[str], dict[str, set[str]]]] = {}
+        self.confident, self.automaton = set(confident), ahocorasick.Automaton()
+        self.keys: dict[str, tuple[set[str], dict[str, set[str]]]] = {}
         for p in confident:
-            kind, context = p.split("|[", 1)
-            left, _, right = context.partition("\t")
-            two, by_right = keys.setdefault(" " + left, (set(), {None: set()}))
+            kind, left, right = self._parts(p)
+            two, by_right = self.keys.setdefault(left, (set(), {None: set()}))
             (by_right.setdefault(right, set()) if right else two).add(kind)
-        for key, (two, by_right) in keys.items():
+        for key, (two, by_right) in self.keys.items():
             self.automaton.add_word(key, (key[-1], two, by_right))
-        if keys:
+        if self.keys:
             self.automaton.make_automaton()
 
+    @staticmethod
+    def _parts(pattern: str) -> tuple[str, str, str]:
+        """The kind, the words before the slot as they are looked for, and the one after it."""
+        kind, context = pattern.split("|[", 1)
+        left, _, right = context.partition("\t")
+        return kind, " " + left, right
+
+    def forget(self, pattern: str) -> None:
+        """Find no more of a pattern."""
+        kind, left, right = self._parts(pattern)
+        two, by_right = self.keys[left]
+        (by_right[right] if right else two).discard(kind)
+        if right and not by_right[right]:
+            del by_right[right]
+        self.confident.discard(pattern)
+
     def found(self, text: str) -> list[tuple[int, int, str, str, list[str]]]:
         """(start, end, value, kind, patterns) of what stands in the slots of a text with single spaces between its words."""
         low = " " + text.lower()
@@ -232,6 +252,8 @@ class Slots:
             low = RUNS.sub("9", low)
         out = {}
         for place, (last, two, by_right) in self.automaton.iter(low):
+            if not two and len(by_right) == 1:  # forgotten
+                continue
             # The context's last sign in ``low`` has the place of the sign after it in ``text``.
             end = place + lost[bisect_right(at, place + 1)]
             if end == len(text) or not (text[end] == " " or last in EDGE):
@@ -408,41 +430,62 @@ def total_counts(docs: DataFrame, values: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "value string, n long").groupBy("value").agg(F.sum("n").alias("total"))
 
 
-def proposals(docs: DataFrame, patterns: DataFrame) -> tuple[DataFrame, list[str]] | None:
-    """(kind, value, pattern, mark) of what stands in the slots of confident patterns, and written paths; None without such patterns.  ``docs`` is (doc_id, t).
+def proposals(docs: DataFrame, slots: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, list[str]] | None:
+    """(kind, value, pattern, mark) of what stands in slots, (pattern) of those that are out, and written paths; None without slots.
 
-    Patterns go out in slices of about ``SLICE``, a pass over the texts for each; all that a slot can match
-    have the same word before it, by which they are sliced.
+    ``docs`` is (doc_id, t).  The written ``slots`` (pattern, room, most) are patterns with the number of strings new to them
+    that leaves them confident, and that number with the strings that they have in ``edges``.  Patterns go out in
+    slices of about ``SLICE``, a pass over the texts for each; all that a slot can match have the same word
+    before it, by which they are sliced.
     """
-    slots = patterns.where(F.col("pattern").rlike(r"^[a-z]+\|\[")).select("pattern")
-    n = slots.count()
-    if not n:
+    if slots.isEmpty():
         return None
-    slices = -(-n // SLICE)
-    word = F.substring_index(F.substring_index(F.substring_index("pattern", "|[", -1), "\t", 1), " ", -1)
-    raw = None
-    for k in range(slices):
-        confident = {r.pattern for r in slots.where(F.pmod(F.crc32(word.cast("binary")), F.lit(slices)) == k).toLocalIterator()}
-        part = docs.mapInArrow(_in_slots(confident), "kind string, value string, pattern string, n long")
-        raw = part if raw is None else raw.unionAll(part)
-    edges, edges_at = cut(raw.groupBy("kind", "value", "pattern").agg(F.sum("n").alias("n")))
-    total, total_at = cut(total_counts(docs, edges.select("value")))
-    inside_ = edges.where("pattern = ''").join(total, "value").select("kind", "value", F.when(F.col("n") < SHARE * F.col("total"), 0.0).alias("mark"))
-    return edges.where("pattern != ''").join(inside_, ["kind", "value"]).select("kind", "value", "pattern", "mark"), [edges_at, total_at]
-
-
-def _in_slots(confident: set[str]):
-    """Rows (doc_id, t) to (kind, value, pattern, n) of a batch; the empty pattern counts occurrences in any slot."""
+
+    def filled(docs: DataFrame, slots: DataFrame) -> tuple[DataFrame, str]:
+        slices = max(1, -(-slots.count() // SLICE))
+        word = F.substring_index(F.substring_index(F.substring_index("pattern", "|[", -1), "\t", 1), " ", -1)
+        parts = []
+        for k in range(slices):
+            most = {r.pattern: r.most for r in slots.where(F.pmod(F.crc32(word.cast("binary")), F.lit(slices)) == k).select("pattern", "most").toLocalIterator()}
+            parts.append(docs.mapInArrow(_in_slots(most), "kind string, value string, patterns array<string>, n long"))
+        return cut(reduce(DataFrame.unionAll, parts).groupBy("kind", "value", "patterns").agg(F.sum("n").alias("n")))
+
+    def full(taken: DataFrame) -> DataFrame:
+        new = taken.select("kind", "value", F.explode("patterns").alias("pattern")).distinct().join(edges, ["kind", "value", "pattern"], "left_anti")
+        return new.groupBy("pattern").agg(F.count(F.lit(1)).alias("taken")).join(slots, "pattern").where("taken > room").select("pattern")
+
+    some, some_at = filled(docs.where(F.monotonically_increasing_id() % FIRST == 0), slots)
+    early, early_at = cut(full(some))
+    rest, rest_at = cut(slots.join(early, "pattern", "left_anti"))
+    taken, taken_at = filled(docs, rest)
+    out, out_at = cut(full(taken).unionAll(early))
+    kept, kept_at = cut(taken.withColumn("pattern", F.explode("patterns")).join(out, "pattern", "left_anti"))
+    drop(docs.sparkSession, some_at, early_at, rest_at, taken_at)
+    total, total_at = cut(total_counts(docs, kept.select("value")))
+    inside_ = kept.select("kind", "value", "patterns", "n").distinct().groupBy("kind", "value").agg(F.sum("n").alias("n"))
+    marks = inside_.join(total, "value").select("kind", "value", F.when(F.col("n") < SHARE * F.col("total"), 0.0).alias("mark"))
+    return kept.select("kind", "value", "pattern").distinct().join(marks, ["kind", "value"]), out, [out_at, kept_at, total_at]
+
+
+def _in_slots(most: dict[str, int]):
+    """Rows (doc_id, t) to (kind, value, patterns, n) of a batch.  A pattern that took more than its ``most`` different strings is out and takes no more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = Slots(confident)
+        slots, taken = Slots(set(most)), {p: set() for p in most}
         for batch in batches:
             rows: Counter = Counter()
             for text in batch.column(1).to_pylist():
                 for _, _, value, kind, found in slots.found(" ".join(text.split())):
-                    rows.update([(kind, value, ""), *((kind, value, p) for p in found)])
+                    live = tuple(p for p in found if p in slots.confident)
+                    for p in live:
+                        taken[p].add(value)
+                        if len(taken[p]) > most[p]:
+                            slots.forget(p)
+                    if live:
+                        rows[kind, value, live] += 1
             if rows:
-                yield pa.record_batch([*(pa.array(list(x), pa.string()) for x in zip(*rows)), pa.array(list(rows.values()), pa.int64())], ["kind", "value", "pattern", "n"])
+                kind, value, patterns = zip(*rows)
+                yield pa.record_batch([pa.array(kind, pa.string()), pa.array(value, pa.string()), pa.array(patterns, pa.list_(pa.string())), pa.array(list(rows.values()), pa.int64())], ["kind", "value", "patterns", "n"])
 
     return run
 
@@ -451,31 +494,46 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, docs: DataFrame | None = N
     """(instances (kind, value, mark, score, slot), patterns (pattern, confidence)) of a cut candidate table, and their paths.
 
     With ``docs`` (doc_id, t), slots of confident patterns propose instances between the rounds; ``slot`` marks those.
+    A slot is searched once, as soon as its pattern is confident.
     """
     spark = found.sparkSession
     # An instance that an announcing word made a seed once is one everywhere.
     instances, instances_at = cut(found.groupBy("kind", "value").agg(F.max("seed").alias("mark")).withColumn("score", F.coalesce("mark", F.lit(0.0))).withColumn("slot", F.lit(False)))
     edges, edges_at = cut(found.select("kind", "value", F.explode("patterns").alias("pattern")).distinct())
     patterns, patterns_at = None, None
+    asked, out, spare = None, None, []  # patterns whose slots were searched, those of them that are out, and where they are written
     for turn in range(rounds):
         scored = edges.join(instances, ["kind", "value"])
         strength = F.sum("score") / (F.count(F.lit(1)) + DAMP)
-        confident, confident_at = cut(scored.groupBy("pattern").agg(strength.alias("confidence"), F.sum((F.col("score") >= ACCEPT).cast("int")).alias("good")).where((F.col("confidence") >= CONFIDENT) & (F.col("good") >= SUPPORT)))
+        able = scored.groupBy("pattern").agg(strength.alias("confidence"), F.sum((F.col("score") >= ACCEPT).cast("int")).alias("good")).where((F.col("confidence") >= CONFIDENT) & (F.col("good") >= SUPPORT))
+        confident, confident_at = cut(able.join(out, "pattern", "left_anti") if out is not None else able)
         belief = edges.join(confident, "pattern").groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("belief"))
         updated = instances.join(belief, ["kind", "value"], "left").select("kind", "value", "mark", F.coalesce("mark", "belief", F.lit(0.0)).alias("score"), "slot")
         new, new_at = cut(updated)
         drop(spark, instances_at, *([patterns_at] if patterns_at else []))
         instances, instances_at, patterns, patterns_at = new, new_at, confident, confident_at
-        proposed = proposals(docs, confident) if docs is not None and turn < rounds - 1 else None
+        if docs is None or turn == rounds - 1:
+            continue
+        slots = confident.where(F.col("pattern").rlike(r"^[a-z]+\|\[")).select("pattern")
+        if asked is not None:  # the texts are the same: a slot takes nothing new
+            slots = slots.join(asked, "pattern", "left_anti")
+        count = F.count(F.lit(1))
+        room = F.greatest(F.lit(0), F.floor(F.sum("score") / CONFIDENT - count - DAMP + 1e-9))
+        slots, slots_at = cut(edges.join(slots, "pattern").join(instances, ["kind", "value"]).groupBy("pattern").agg(room.alias("room"), (room + count).alias("most")))
+        spare.append(slots_at)
+        proposed = proposals(docs, slots, edges)
         if proposed:
-            rows, paths = proposed
+            rows, gone, paths = proposed
             rows, rows_at = cut(rows)
+            asked = slots.select("pattern") if asked is None else asked.unionAll(slots.select("pattern"))
+            out = gone if out is None else out.unionAll(gone)
+            spare.append(paths.pop(0))
             fresh = rows.groupBy("kind", "value").agg(F.max("mark").alias("mark")).join(instances, ["kind", "value"], "left_anti")
             new, new_at = cut(instances.unionByName(fresh.select("kind", "value", "mark", F.lit(0.0).alias("score"), F.lit(True).alias("slot"))))
             wide, wide_at = cut(edges.unionByName(rows.select("kind", "value", "pattern")).distinct())
             drop(spark, instances_at, edges_at, rows_at, *paths)
             instances, instances_at, edges, edges_at = new, new_at, wide, wide_at
-    drop(spark, edges_at)
+    drop(spark, edges_at, *spare)
     return instances, patterns, [instances_at, patterns_at]
 
 

@@ -1,6 +1,7 @@
 """Classifiers on held-out labels and against brute force, language, identifiers and benchmark passages."""
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -291,6 +292,39 @@ def test_graph_scores_against_plain_python(spark):
     assert {r.value: r.score for r in instances.collect()} == pytest.approx(score)
 
 
+def test_slots_that_take_too_much(spark, monkeypatch):
+    """Patterns whose slots take more strings than leave them confident are out, the others' strings come whole, however the texts are cut."""
+    rnd = np.random.default_rng(3)
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
+    texts = [" ".join(["for the", str(rnd.choice(words)), "and", str(rnd.choice(words[:20])), "said"]) for _ in range(600)]
+    texts += [f"my pin is {v} now" for v in ("qwe", "asd", "qwe", "k9")] + ["on asd by", "asd asd", "my pin is"]
+    slots = {"phone|[for the": (5, 25), "phone|[and\tsaid": (20, 20), "email|[and\tsaid": (19, 40), "phone|[pin is": (3, 9), "email|[pin is": (2, 9)}
+    stands, count = [], Counter(w for t in texts for w in t.split())
+    for w in map(str.split, texts):
+        for k in range(1, len(w)):
+            for kind in ("phone", "email"):
+                own = {f"{kind}|[{w[k - 2]} {w[k - 1]}"} if k > 1 else set()
+                own |= {f"{kind}|[{w[k - 1]}\t{w[k + 1]}"} if k + 1 < len(w) else set()
+                stands.append((kind, w[k], own & set(slots)))
+    known = {("phone", "qwe", "phone|[pin is"), ("email", "asd", "email|[pin is")}
+    taken = {(kind, v, p) for kind, v, ps in stands for p in ps}
+    out = {p for p, (room, _) in slots.items() if sum(x[2] == p for x in taken - known) > room}
+    assert out == {"phone|[for the", "email|[and\tsaid"}
+    inside = Counter((kind, v) for kind, v, ps in stands if ps - out)
+    want = {(kind, v, p, 0.0 if inside[kind, v] < 0.5 * count[v] else None) for kind, v, p in taken if p not in out}
+    assert {x[3] for x in want} == {0.0, None}
+    graph = spark.createDataFrame(sorted(known), "kind string, value string, pattern string")
+    asked = spark.createDataFrame([(p, *x) for p, x in slots.items()], "pattern string, room long, most long")
+    for first, parts in ((32, 1), (1, 3), (7, 8)):
+        monkeypatch.setattr(pii, "FIRST", first)
+        docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, t string").repartition(parts)
+        rows, gone, _ = pii.proposals(docs, asked, graph)
+        assert {r.pattern for r in gone.collect()} == out and rows.count() == len(want)
+        assert {tuple(r) for r in rows.select("kind", "value", "pattern", "mark").collect()} == want
+    sent = spark.createDataFrame([(0, t) for t in texts], "doc_id long, t string").coalesce(1).mapInArrow(pii._in_slots({"phone|[for the": 25}), "kind string, value string, patterns array<string>, n long")
+    assert sent.select("value").distinct().count() == 26  # of 300: enough to tell that the pattern is out
+
+
 def test_identifiers_of_any_length(spark):
     """No part of an identifier is lost: a first digit after 210 letters, a mailbox of 80, and a code of 8 letters that only its context gives away."""
     long = "a" * 210 + "123456789012345678901234567890"
