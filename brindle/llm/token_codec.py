@@ -20,6 +20,8 @@ import base64
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from brindle.llm.common import q, table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Blocks are counted ``TOGETHER`` at a time, which fits the caches, and coded in ``LANES``; neither changes the result.
-BLOCK, LANES, TOGETHER, CACHE = 8192, 384, 16, 400_000
+BLOCK, LANES, TOGETHER, CACHE = 8192, 384, 2, 400_000
 EPOCHS = np.array([0, 64, 128, 256, 512, 768, 1024, 1536, 2048, 3072, 4096, 5120, 6144, 7168, BLOCK])
 TOTAL_BITS, WEIGHT_BITS, BUCKETS = 24, 12, 8
 MOST_IDS = 1 << 22
@@ -80,7 +82,7 @@ class Tokenizer:
         first, which = order[new], np.empty(len(h), np.int64)
         which[order] = np.cumsum(new) - 1
         raw = data.tobytes()
-        encode = self.encoding.encode_ordinary
+        encode, merge = self.encoding._core_bpe.encode_ordinary, self.encoding._core_bpe.encode_single_piece
         if len(self._known) > CACHE:
             self._known = {}
         lists, known = [], self._known
@@ -88,12 +90,12 @@ class Tokenizer:
             piece = raw[a:b]
             found = known.get(piece)
             if found is None:
-                found = self.encoding._encode_single_piece(piece) if simple else encode(piece.decode("utf-8", "replace"))
+                found = merge(piece) if simple else encode(piece.decode("utf-8", "replace"))
                 if b - a < 64:
                     known[piece] = found
             lists.append(found)
         size = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.concatenate([np.asarray(x, np.uint32) for x in lists]) if len(lists) < 1000 else np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))
+        flat = np.concatenate([np.asarray(x, np.uint32) for x in lists]) if len(lists) < 1000 else np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))
         at = np.concatenate([[0], np.cumsum(size)])
         n_out = size[which]
         out_at = np.concatenate([[0], np.cumsum(n_out)])
@@ -132,98 +134,117 @@ class Tokenizer:
         return cuts[:-1], cuts[1:], is_begin[cuts[:-1]]
 
 
+@lru_cache(1)
+def _tokenizer(path: str) -> Tokenizer:
+    """One for all tasks of a worker, with the pieces that it knows."""
+    return Tokenizer(path)
+
+
 _BUCKET = np.minimum([k.bit_length() for k in range(BLOCK + 1)], BUCKETS - 1).astype(np.int64)
 
 
-def _bucket(n: np.ndarray) -> np.ndarray:
-    """How much a context was seen, in powers of two; 0 for never."""
-    return _BUCKET[n]
+def _fields() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For counts of earlier tokens by epoch, as many as fit a 64-bit word: what a token adds to each word, and each epoch's word, shift and mask.
+
+    A count before an epoch is at most the epoch's first place, so differences of running sums never reach the next field.
+    """
+    word, shift, mask = np.zeros((3, len(EPOCHS) - 1), np.int64)
+    used = 0
+    for e in range(1, len(EPOCHS) - 1):
+        bits = int(EPOCHS[e]).bit_length()
+        word[e], shift[e] = (word[e - 1], used) if used + bits < 64 else (word[e - 1] + 1, 0)
+        used, mask[e] = shift[e] + bits, (1 << bits) - 1
+    adds = np.zeros((word[-1] + 1, len(EPOCHS) - 1), np.int64)
+    for e in range(1, len(EPOCHS) - 1):
+        adds[word[e], :e] += 1 << shift[e]
+    return adds, word, shift, mask
+
 
+_ADDS, _WORD, _SHIFT, _MASK = _fields()
 
-def _counts(keys: np.ndarray, ids: np.ndarray, epoch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each token, among the tokens with its key before its epoch: those with a smaller id, with its id, and all; and a number for its key and id.
 
-    Key, id and place are sorted as one integer each (ids and places have 17 bits).
+def _counts(keys: np.ndarray, ids: np.ndarray, epoch: np.ndarray, number: bool = False) -> tuple[tuple[np.ndarray, ...], np.ndarray | None]:
+    """The tokens whose key comes before their epoch, and for each of them, among the tokens with its key before its epoch: those with a smaller id, with its id, and all.
+
+    With ``number``, a number for the key and id of every token as well.  Key, id and place are sorted as one integer each (ids and places have 17 bits).
     """
     n = len(ids)
     pairs = np.sort(keys << 34 | ids << 17 | np.arange(n))
     order = pairs & 0x1FFFF
     pairs >>= 17
-    new_key, new_pair = np.ones(n, bool), np.ones(n, bool)
-    new_pair[1:] = pairs[1:] != pairs[:-1]
-    pairs >>= 17
-    new_key[1:] = pairs[1:] != pairs[:-1]
-
-    def bounds(new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.append(np.flatnonzero(new).astype(np.int32), np.int32(n))
-        group = np.cumsum(new, dtype=np.int32)
-        return at[group - 1], at[group], group
-
-    (key_lo, key_hi, _), (pair_lo, pair_hi, group) = bounds(new_key), bounds(new_pair)
-    sorted_epoch = epoch[order]
-    when = np.argsort(sorted_epoch, kind="stable")
-    ends = np.cumsum(np.bincount(sorted_epoch))
-    counts = np.zeros((4, n), np.int32)
-    counts[3, order] = group
-    cum = np.zeros(n + 1, np.int32)
-    for e in range(1, len(ends)):
-        here = when[ends[e - 1] : ends[e]]
-        np.cumsum(sorted_epoch < e, out=cum[1:])
-        a, b = cum[key_lo[here]], cum[pair_lo[here]]
-        to = order[here]
-        counts[0, to] = b - a
-        counts[1, to] = cum[pair_hi[here]] - b
-        counts[2, to] = cum[key_hi[here]] - a
-    return counts[0], counts[1], counts[2], counts[3]
+    start = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[:n])
+    key = pairs[start] >> 17
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    size = np.diff(start, append=n)
+    pair = np.repeat(np.arange(len(start)), size)
+    own = np.repeat(np.arange(len(first)), np.diff(first, append=len(start)))  # the key of each pair
+    key_of = np.repeat(own, size)
+    when = epoch.take(order).astype(np.intp, copy=False)
+    words = _WORD[int(epoch.max(initial=0))] + 1
+    less, same, all_ = np.empty((words, len(start)), np.int64), np.empty((words, len(start)), np.int64), np.empty((words, len(first)), np.int64)
+    total = np.zeros(n + 1, np.int64)
+    for w in range(words):
+        np.cumsum(_ADDS[w].take(when), out=total[1:])
+        at_pair = total[np.append(start, n)]
+        at_key = at_pair[np.append(first, len(start))]
+        less[w], same[w], all_[w] = at_pair[:-1] - at_key[own], np.diff(at_pair), np.diff(at_key)
+    key_of += (_WORD * len(first)).take(when)
+    seen = all_.ravel().take(key_of) >> _SHIFT.take(when) & _MASK.take(when)
+    has = np.flatnonzero(seen)
+    when = when.take(has)
+    shift, mask = _SHIFT.take(when), _MASK.take(when)
+    of = pair.take(has) + (_WORD * len(start)).take(when)
+    numbers = None
+    if number:
+        numbers = np.empty(n, np.int64)
+        numbers[order] = pair + 1
+    return (order.take(has), less.ravel().take(of) >> shift & mask, same.ravel().take(of) >> shift & mask, seen.take(has)), numbers
 
 
 def _weights(hits: np.ndarray, trials: np.ndarray) -> np.ndarray:
     return ((2 * hits + 1) << WEIGHT_BITS) // (2 * trials + 2)
 
 
+def _part(share: np.ndarray, count: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """share * count // seen; the product is below 2**38 and ``seen`` at most ``BLOCK``, so the quotient of doubles has the right whole part."""
+    return (share * count / seen).astype(np.int64)
+
+
 def intervals(ids: np.ndarray, block: np.ndarray, position: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     """(low, width) of every token in a range of 2**TOTAL_BITS, given its block and place in it."""
     n, real = len(ids), ids
     if vocabulary >= 1 << 17:  # keys have 17 bits for an id: larger ones by their rank among these, which keeps their order
         ids = np.unique(ids, return_inverse=True)[1]
-    epoch = (np.searchsorted(EPOCHS, position, "right") - 1).astype(np.int8)
+    epoch = (np.searchsorted(EPOCHS, np.arange(int(position.max(initial=0)) + 1), "right") - 1)[position]
     n_epochs = int(epoch.max(initial=0)) + 1
-    when = [np.flatnonzero(epoch == e) for e in range(n_epochs)]
     blocks = int(block.max(initial=0)) + 1
     one = np.zeros(n, np.int64)
     one[1:] = ids[:-1] + 1
     one[position == 0] = 0
     base = block.astype(np.int64)
-    *by_none, _ = _counts(base, ids, epoch)
-    *by_one, pair = _counts(base << 17 | one, ids, epoch)
+    by_none, _ = _counts(base, ids, epoch)
+    by_one, pair = _counts(base << 17 | one, ids, epoch, True)
     two = np.zeros(n, np.int64)  # the last two ids are what the token before had as context and id
     two[1:] = pair[:-1]
     two = np.where(position == 0, (1 << 17) + 1 + base, two)
-    *by_two, _ = _counts(two, ids, epoch)
-    counted = [by_none, by_one, by_two]
+    by_two, _ = _counts(two, ids, epoch)
     low = np.zeros(n, np.int64)
     width = np.zeros(n, np.int64)
     room = np.full(n, (1 << TOTAL_BITS) - vocabulary, np.int64)
     reached = np.ones(n, bool)
-    for order in (2, 1, 0):
-        less, same, all_ = counted[order]
-        bucket = _bucket(all_)
-        slot = block * BUCKETS + bucket
-        weight = np.zeros(n, np.int64)
-        hits, trials = np.zeros(blocks * BUCKETS, np.int64), np.zeros(blocks * BUCKETS, np.int64)
-        for here in when:
-            weight[here] = _weights(hits, trials)[slot[here]]
-            tried = here[reached[here]]
-            trials += np.bincount(slot[tried], minlength=len(trials))
-            hits += np.bincount(slot[tried[same[tried] > 0]], minlength=len(hits))
-        weight[all_ == 0] = 0
-        share = room * weight >> WEIGHT_BITS
-        room -= share
-        seen = np.maximum(all_, 1).astype(np.int64)
-        a = share * less // seen
-        low += a
-        width += share * (less + same) // seen - a
-        reached &= same == 0
+    for at, less, same, seen in (by_two, by_one, by_none):
+        slot = (base.take(at) * BUCKETS + _BUCKET.take(seen)) * n_epochs + epoch.take(at)
+        hit, tried = same > 0, reached.take(at)
+        trials, hits = (np.bincount(slot[x], minlength=blocks * BUCKETS * n_epochs).reshape(-1, n_epochs) for x in (tried, tried & hit))
+        # A weight follows what was tried before the epoch.
+        weight = _weights(np.cumsum(hits, axis=1) - hits, np.cumsum(trials, axis=1) - trials).ravel().take(slot)
+        left = room.take(at)
+        share = left * weight >> WEIGHT_BITS
+        room[at] = left - share
+        a = _part(share, less, seen)
+        low[at] += a
+        width[at] += _part(share, less + same, seen) - a
+        reached[at[hit]] = False
     each = room // vocabulary + 1
     return low + each * real, width + each
 
@@ -256,14 +277,14 @@ def range_encode(low: np.ndarray, width: np.ndarray, first: np.ndarray) -> list[
         span <<= by
     words[steps], words[steps + 1] = base >> shift32, base & np.uint64(0xFFFFFFFF)
     out[steps:] = True
-    emitted = np.cumsum(out, axis=0)
+    words, out, carry = (np.ascontiguousarray(x.T) for x in (words, out, carry))
     coded = []
     for k in range(lanes):
-        w = words[out[:, k], k]
+        w = words[k, out[k]]
         value = int.from_bytes(w.astype(">u4").tobytes(), "big")
-        where = np.flatnonzero(carry[:, k])
+        where = np.flatnonzero(carry[k])
         if len(where):  # a carry belongs to the last word written before it
-            sent = emitted[where, k] - out[where, k]
+            sent = np.cumsum(out[k])[where] - out[k, where]
             extra = np.bincount(sent - 1, minlength=len(w)).astype(">u4")
             value += int.from_bytes(extra.tobytes(), "big")
         coded.append(value.to_bytes(4 * len(w), "big").rstrip(b"\0"))
@@ -377,7 +398,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     """Blocks of the documents' token ids; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(vocabulary_path)
+        tokenizer = _tokenizer(vocabulary_path)
         for rows, data, offsets in tk.chunks(batches, "t", 4 << 20):
             ids, first = tokenizer.encode_all(data, offsets)
             counts = np.diff(first)
@@ -408,7 +429,7 @@ def decode(blocks: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFrame:
     """(doc_id, part, ids) of each document, or part of one, in the blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = Tokenizer(vocabulary_path).size
+        size = _tokenizer(vocabulary_path).size
         for batch in batches:
             for row in batch.to_pylist():
                 ids = decode_block(row["payload"], row["n_tokens"], size)

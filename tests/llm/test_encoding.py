@@ -53,6 +53,37 @@ def test_coder_takes_large_vocabularies():
         token_codec.encode_blocks(np.array([5], np.uint32), np.array([0, 1]), token_codec.MOST_IDS + 1)
 
 
+def test_counts_against_plain_python():
+    """Only tokens whose context was seen before their epoch are counted further, up to whole blocks of one id, where the packed fields are fullest."""
+    rnd = np.random.default_rng(8)
+    runs = [rnd.integers(0, 5, token_codec.BLOCK), np.full(token_codec.BLOCK, 3), np.r_[np.zeros(4000, int), np.full(4192, 9)], rnd.integers(0, 400, 5000)]
+    ids = np.concatenate(runs)
+    keys = np.repeat(np.arange(len(runs)), [len(x) for x in runs]) * 3 + rnd.integers(0, 3, len(ids)) * (ids < 400)
+    position = np.concatenate([np.arange(len(x)) for x in runs])
+    epoch = (np.searchsorted(token_codec.EPOCHS, position, "right") - 1).astype(np.int8)
+    (at, *got), numbers = token_codec._counts(keys, ids, epoch, True)
+    want, before = {}, {}
+    for e in range(len(token_codec.EPOCHS) - 1):
+        here = np.flatnonzero(epoch == e)
+        for k in here.tolist():
+            seen = before.get(int(keys[k]), {})
+            if seen:
+                x = int(ids[k])
+                want[k] = (sum(n for y, n in seen.items() if y < x), seen.get(x, 0), sum(seen.values()))
+        for k in here.tolist():
+            own = before.setdefault(int(keys[k]), {})
+            own[int(ids[k])] = own.get(int(ids[k]), 0) + 1
+    assert dict(zip(at.tolist(), zip(*(x.tolist() for x in got)))) == want and max(x[2] for x in want.values()) > 2000
+    assert len(at) < len(ids) and len(set(numbers.tolist())) == len(set(zip(keys.tolist(), ids.tolist())))
+    (_, _, same, seen), _ = token_codec._counts(np.zeros(token_codec.BLOCK, int), np.full(token_codec.BLOCK, 3), epoch[: token_codec.BLOCK])
+    assert same.max() == seen.max() == token_codec.EPOCHS[-2]
+    share, seen = rnd.integers(0, 1 << 24, 200_000), rnd.integers(1, token_codec.BLOCK + 1, 200_000)
+    part = rnd.integers(0, seen + 1)
+    assert (token_codec._part(share, part, seen) == share * part // seen).all()
+    share = share // seen * seen  # quotients that are whole, and one less than whole
+    assert (token_codec._part(share, seen, seen) == share).all() and (token_codec._part(np.maximum(share - 1, 0), np.ones_like(seen), seen) == np.maximum(share - 1, 0) // seen).all()
+
+
 def test_blocks_round_trip(docs):
     some = docs.select("doc_id", "text", "lang")
     blocks = token_codec.encode(some).cache()
