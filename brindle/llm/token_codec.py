@@ -18,10 +18,10 @@ from __future__ import annotations
 
 import base64
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +49,14 @@ class Tokenizer:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.size = max(ranks.values()) + 1
-        self._known: dict[bytes, list[int]] = {}
+        self._forget()
         self.encoding = tiktoken.Encoding("blocks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def _forget(self) -> None:
+        # Pieces by number, and their ids one after another: no object for each that the garbage collector would visit.
+        self._known: dict[bytes, int] = {}
+        self._ids, self._ends = array("I"), array("q", [0])
+
     def decode(self, ids: list[int]) -> bytes:
         return self.encoding.decode_bytes(ids)
 
@@ -83,20 +88,21 @@ class Tokenizer:
         which[order] = np.cumsum(new) - 1
         raw = data.tobytes()
         encode, merge = self.encoding._core_bpe.encode_ordinary, self.encoding._core_bpe.encode_single_piece
-        if len(self._known) > CACHE:
-            self._known = {}
-        lists, known = [], self._known
+        if len(self._ends) > CACHE or len(self._ids) > 8 * CACHE:
+            self._forget()
+        known, stored, ends, numbers = self._known, self._ids, self._ends, []
         for a, b, simple in zip(start[first].tolist(), end[first].tolist(), plain[first].tolist()):
             piece = raw[a:b]
-            found = known.get(piece)
-            if found is None:
-                found = merge(piece) if simple else encode(piece.decode("utf-8", "replace"))
+            k = known.get(piece)
+            if k is None:
+                stored.extend(merge(piece) if simple else encode(piece.decode("utf-8", "replace")))
+                k = len(ends) - 1
+                ends.append(len(stored))
                 if b - a < 64:
-                    known[piece] = found
-            lists.append(found)
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.concatenate([np.asarray(x, np.uint32) for x in lists]) if len(lists) < 1000 else np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))
-        at = np.concatenate([[0], np.cumsum(size)])
+                    known[piece] = k
+            numbers.append(k)
+        flat, bounds, number = np.array(stored, np.uint32), np.array(ends, np.int64), np.array(numbers, np.int64)
+        at, size = bounds[number], bounds[number + 1] - bounds[number]
         n_out = size[which]
         out_at = np.concatenate([[0], np.cumsum(n_out)])
         ids = flat[np.repeat(at[which] - out_at[:-1], n_out) + np.arange(out_at[-1])]
