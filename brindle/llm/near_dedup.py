@@ -64,7 +64,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, a: tuple[int
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.T.reshape(-1).view(np.int64)), len(x)).cast(pa.list_(pa.int64())) for x in (fa, fb)]
             yield pa.record_batch([rows.column(0).take(pa.array(have)), pa.array(c.view(np.int64)), *lists], ["id", "c", "a", "b"])
 
-    return docs.select(q(id_col).alias("id"), q(text_col).alias("t")).where("id is not null and t is not null").mapInArrow(run, "id long, c long, a array<long>, b array<long>")
+    return docs.select(q(id_col).alias("id"), q(text_col).alias("t")).where("id is not null and t is not null").mapInArrow(tk.frugal(run), "id long, c long, a array<long>, b array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -78,7 +78,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
             at = np.searchsorted(key, np.arange(len(first), dtype=np.uint64) << tk.U64(32))
             yield pa.record_batch([rows.column(0), tk.lists((key & tk.U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), at)], ["id", "s"])
 
-    return docs.mapInArrow(run, "id long, s array<int>")
+    return docs.mapInArrow(tk.frugal(run), "id long, s array<int>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -140,7 +140,7 @@ def shared_keys(sig: DataFrame) -> DataFrame:
             keys = tk.mix(ha[row, i][:, None] * tk.U64(0x9E3779B97F4A7C15) + hb[row])
             yield pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), rows.column(0).take(pa.array(np.repeat(row, b.shape[1])))], ["key", "id"])
 
-    return sig.select("id", "a", "b").mapInArrow(run, "key long, id long")
+    return sig.select("id", "a", "b").mapInArrow(tk.frugal(run), "key long, id long")
 
 
 def prefixes(sets: DataFrame, rank: np.ndarray, threshold: float, only: BitFilter | None = None) -> DataFrame:
@@ -160,7 +160,7 @@ def prefixes(sets: DataFrame, rank: np.ndarray, threshold: float, only: BitFilte
                 x, d = x[keep], d[keep]
             yield pa.record_batch([pa.array(x), rows.column(0).take(pa.array(d)), pa.array(n[d])], ["x", "id", "n"])
 
-    return sets.mapInArrow(run, "x long, id long, n long")
+    return sets.mapInArrow(tk.frugal(run), "x long, id long, n long")
 
 
 def frequencies(sets: DataFrame) -> np.ndarray:
@@ -174,7 +174,7 @@ def frequencies(sets: DataFrame) -> np.ndarray:
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "n"])
 
     out = np.zeros(SKETCH, np.int64)
-    found = sets.select("s").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    found = sets.select("s").mapInArrow(tk.frugal(run), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out[found["at"].to_numpy()] = found["n"].to_numpy()
     return out
 

@@ -150,7 +150,7 @@ def _learn(labelled: DataFrame) -> tuple[list[Lexicon], np.ndarray]:
     sizes = np.zeros((2, 2))
     for y, fold, n in labelled.groupBy("y", "fold").count().collect():
         sizes[y, fold] = n
-    counted = lambda y, only: labelled.where(F.col("y") == y).select("t", "fold").mapInArrow(_count(only), "u long, n0 long, n1 long").groupBy("u").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = lambda y, only: labelled.where(F.col("y") == y).select("t", "fold").mapInArrow(tk.frugal(_count(only)), "u long, n0 long, n1 long").groupBy("u").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     toxic, toxic_at = cut(counted(1, None).where(F.col("n0") + F.col("n1") >= LEAST))
     # Clean documents bring only units that may be among the toxic ones; what the filter lets pass besides has no partner in the join.
     clean = counted(0, BitFilter(toxic.select("u"))).select("u", F.col("n0").alias("c0"), F.col("n1").alias("c1"))
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             x = np.where(fold[:, None] == 0, both[1], both[0])
             yield pa.record_batch([pa.array(x.tolist(), pa.list_(pa.float64())), rows.column(1), rows.column(3)], ["x", "y", "id"])
 
-    found = picked.select("t", "y", "fold", "id").mapInArrow(features, "x array<double>, y int, id long").toPandas()
+    found = picked.select("t", "y", "fold", "id").mapInArrow(tk.frugal(features), "x array<double>, y int, id long").toPandas()
     found = found.sort_values(["id", "y"], kind="stable", ignore_index=True)  # the fit does not depend on the order of partitions
     drop(spark, known_at, at)
     y = found["y"].to_numpy(float)
@@ -240,7 +240,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
             keep = model.probability(data, offsets) < REJECT
             yield rows if keep.all() else rows.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tk.frugal(run), docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
