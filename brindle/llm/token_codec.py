@@ -17,6 +17,7 @@ has no tokens and an entry of length 0; a null or repeated ``doc_id`` is kept as
 from __future__ import annotations
 
 import base64
+import unicodedata
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -33,13 +34,18 @@ from brindle.llm.common import q, table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Blocks are counted ``TOGETHER`` at a time, which fits the caches, and coded in ``LANES``; neither changes the result.
-BLOCK, LANES, TOGETHER, CACHE = 8192, 384, 2, 400_000
+BLOCK, LANES, STEPS, TOGETHER, CACHE = 8192, 384, 64, 2, 400_000
 EPOCHS = np.array([0, 64, 128, 256, 512, 768, 1024, 1536, 2048, 3072, 4096, 5120, 6144, 7168, BLOCK])
 TOTAL_BITS, WEIGHT_BITS, BUCKETS = 24, 12, 8
 MOST_IDS = 1 << 22
 SCHEMA = "doc_ids array<long>, lengths array<int>, part int, n_tokens int, crc long, payload binary"
 
 
+#: By the last five bits of a first byte, and the second byte: which characters of two bytes are letters.
+_LETTER = np.zeros(1 << 13, bool)
+_LETTER[[c >> 6 << 8 | 0x80 | c & 63 for c in range(0x80, 0x800) if unicodedata.category(chr(c))[0] == "L"]] = True
+
+
 class Tokenizer:
     """Byte-level BPE from a rank file.  Equal pieces of a run of texts are merged once."""
 
@@ -63,14 +69,14 @@ class Tokenizer:
     def encode_all(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents and the first id of each.
 
-        Pieces that are one optional space and ASCII letters are found and hashed over the whole run; what
-        lies between them goes through the pattern.  A stretch is cut only where the pattern would cut too.
+        Pieces that are one optional space and letters of one or two bytes are found and hashed over the whole run;
+        what lies between them goes through the pattern.  A stretch is cut only where the pattern would cut too.
         """
         n = len(data)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         start, end, plain = self._stretches(data, offsets)
-        # Equal stretches of up to 24 bytes are merged once; two that differ would need equal 64-bit hashes.
+        # Equal stretches of up to 24 bytes are merged once: they stand together by hash, and are compared with the one before.
         padded = np.concatenate([data, np.zeros(32, np.uint8)])
         eight = np.ndarray((n + 24,), "<u8", padded, 0, (1,))
         size = end - start
@@ -79,11 +85,15 @@ class Tokenizer:
             some = np.flatnonzero(size > at) if at else slice(None)
             spare = np.uint64(64) - np.minimum(size[some] - at, 8).astype(np.uint64) * np.uint64(8)
             h[some] = tk.mix(h[some] ^ (eight[start[some] + at] << spare >> spare))
-        long = np.flatnonzero(size > 24)
-        h[long] = tk.mix(start[long].astype(np.uint64) | np.uint64(1 << 63))
         order = np.argsort(h)
+        h, size, begin = h.take(order), size.take(order), start.take(order)
         new = np.ones(len(h), bool)
-        new[1:] = h[order[1:]] != h[order[:-1]]
+        np.not_equal(h[1:], h[:-1], out=new[1:])
+        new[1:] |= size[1:] != size[:-1]
+        new |= size > 24
+        more = np.flatnonzero(~new & (size > 8))  # up to 8 bytes of one size have a hash of their own
+        a, b, last = begin.take(more), begin.take(more - 1), size.take(more) - 8
+        new[more] = (eight[a] != eight[b]) | (eight[a + last] != eight[b + last]) | (last > 8) & (eight[a + 8] != eight[b + 8])
         first, which = order[new], np.empty(len(h), np.int64)
         which[order] = np.cumsum(new) - 1
         raw = data.tobytes()
@@ -113,8 +123,8 @@ class Tokenizer:
     def _stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Spans that cover the run, and which of them are single plain pieces.
 
-        A plain piece is `` ?[A-Za-z]+`` between a byte that is ASCII and no letter (or the document's edge) and
-        the same.  Not taken are pieces after an apostrophe, as contractions are the pattern's first choice, and
+        A plain piece is `` ?`` and letters below U+0800 between a byte that is ASCII and no letter (or the document's
+        edge) and the same.  Not taken are pieces after an apostrophe, as contractions are the pattern's first choice, and
         after a line end or tab that follows white space, as the pattern splits such a run before its last one.
         """
         n = len(data)
@@ -122,6 +132,9 @@ class Tokenizer:
         letter = (low >= 97) & (low <= 122) & (data < 128)
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
+        lead = np.flatnonzero((data[:-1] >= 0xC2) & (data[:-1] < 0xE0) & ~edge[1:-1])
+        lead = lead[_LETTER[(data[lead].astype(np.int64) & 31) << 8 | data[lead + 1]]]
+        letter[lead] = letter[lead + 1] = True
         inside = np.zeros(n + 2, bool)
         inside[1:-1] = letter
         begin = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
@@ -149,28 +162,31 @@ def _tokenizer(path: str) -> Tokenizer:
 _BUCKET = np.minimum([k.bit_length() for k in range(BLOCK + 1)], BUCKETS - 1).astype(np.int64)
 
 
-def _fields() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For counts of earlier tokens by epoch, as many as fit a 64-bit word: what a token adds to each word, and each epoch's word, shift and mask.
+def _before(pair: np.ndarray, first: np.ndarray, last: np.ndarray, epoch: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The tokens whose key comes before their epoch, and for each of them, among the tokens with its key before its epoch: those with a smaller id, with its id, and all.
 
-    A count before an epoch is at most the epoch's first place, so differences of running sums never reach the next field.
+    ``pair`` numbers keys and ids in their order; ``first`` and ``last`` are, for each pair, the first pair of its key and the one after the last.
     """
-    word, shift, mask = np.zeros((3, len(EPOCHS) - 1), np.int64)
-    used = 0
-    for e in range(1, len(EPOCHS) - 1):
-        bits = int(EPOCHS[e]).bit_length()
-        word[e], shift[e] = (word[e - 1], used) if used + bits < 64 else (word[e - 1] + 1, 0)
-        used, mask[e] = shift[e] + bits, (1 << bits) - 1
-    adds = np.zeros((word[-1] + 1, len(EPOCHS) - 1), np.int64)
-    for e in range(1, len(EPOCHS) - 1):
-        adds[word[e], :e] += 1 << shift[e]
-    return adds, word, shift, mask
-
-
-_ADDS, _WORD, _SHIFT, _MASK = _fields()
+    wide, epochs = len(first) + 1, int(epoch.max(initial=0)) + 1
+    row = epoch.astype(np.int64) * wide
+    at = row + pair
+    # Tokens by epoch and pair, a row further on and a place to the right: summed down and along, what is before both.
+    total = np.bincount(at + (wide + 1), minlength=epochs * wide)[: epochs * wide].reshape(epochs, wide)
+    for e in range(1, epochs):
+        total[e] += total[e - 1]
+    total = np.cumsum(total.ravel())
+    row += first.take(pair)
+    base = total.take(row)
+    seen = total.take(at - pair + last.take(pair)) - base
+    has = np.flatnonzero(seen > 0)
+    at = at.take(has)
+    less = total.take(at)
+    same = total.take(at + 1) - less
+    return has, less - base.take(has), same, seen.take(has)
 
 
 def _counts(keys: np.ndarray, ids: np.ndarray, epoch: np.ndarray, number: bool = False) -> tuple[tuple[np.ndarray, ...], np.ndarray | None]:
-    """The tokens whose key comes before their epoch, and for each of them, among the tokens with its key before its epoch: those with a smaller id, with its id, and all.
+    """``_before`` of any keys and ids.
 
     With ``number``, a number for the key and id of every token as well.  Key, id and place are sorted as one integer each (ids and places have 17 bits).
     """
@@ -178,33 +194,15 @@ def _counts(keys: np.ndarray, ids: np.ndarray, epoch: np.ndarray, number: bool =
     pairs = np.sort(keys << 34 | ids << 17 | np.arange(n))
     order = pairs & 0x1FFFF
     pairs >>= 17
-    start = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[:n])
-    key = pairs[start] >> 17
+    new = np.ones(n, bool)
+    np.not_equal(pairs[1:], pairs[:-1], out=new[1:])
+    start = np.flatnonzero(new)
+    pair = np.empty(n, np.int64)
+    pair[order] = np.cumsum(new) - 1
+    key = pairs.take(start) >> 17
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-    size = np.diff(start, append=n)
-    pair = np.repeat(np.arange(len(start)), size)
-    own = np.repeat(np.arange(len(first)), np.diff(first, append=len(start)))  # the key of each pair
-    key_of = np.repeat(own, size)
-    when = epoch.take(order).astype(np.intp, copy=False)
-    words = _WORD[int(epoch.max(initial=0))] + 1
-    less, same, all_ = np.empty((words, len(start)), np.int64), np.empty((words, len(start)), np.int64), np.empty((words, len(first)), np.int64)
-    total = np.zeros(n + 1, np.int64)
-    for w in range(words):
-        np.cumsum(_ADDS[w].take(when), out=total[1:])
-        at_pair = total[np.append(start, n)]
-        at_key = at_pair[np.append(first, len(start))]
-        less[w], same[w], all_[w] = at_pair[:-1] - at_key[own], np.diff(at_pair), np.diff(at_key)
-    key_of += (_WORD * len(first)).take(when)
-    seen = all_.ravel().take(key_of) >> _SHIFT.take(when) & _MASK.take(when)
-    has = np.flatnonzero(seen)
-    when = when.take(has)
-    shift, mask = _SHIFT.take(when), _MASK.take(when)
-    of = pair.take(has) + (_WORD * len(start)).take(when)
-    numbers = None
-    if number:
-        numbers = np.empty(n, np.int64)
-        numbers[order] = pair + 1
-    return (order.take(has), less.ravel().take(of) >> shift & mask, same.ravel().take(of) >> shift & mask, seen.take(has)), numbers
+    size = np.diff(first, append=len(key))
+    return _before(pair, np.repeat(first, size), np.repeat(first + size, size), epoch), pair + 1 if number else None
 
 
 def _weights(hits: np.ndarray, trials: np.ndarray) -> np.ndarray:
@@ -224,24 +222,38 @@ def intervals(ids: np.ndarray, block: np.ndarray, position: np.ndarray, vocabula
     epoch = (np.searchsorted(EPOCHS, np.arange(int(position.max(initial=0)) + 1), "right") - 1)[position]
     n_epochs = int(epoch.max(initial=0)) + 1
     blocks = int(block.max(initial=0)) + 1
-    one = np.zeros(n, np.int64)
-    one[1:] = ids[:-1] + 1
-    one[position == 0] = 0
     base = block.astype(np.int64)
-    by_none, _ = _counts(base, ids, epoch)
-    by_one, pair = _counts(base << 17 | one, ids, epoch, True)
+    begins = np.flatnonzero(position == 0)
+    alone = int(ids.max(initial=0)) + 1
+    own = base * alone + ids
+    there = np.zeros(blocks * alone, bool)
+    there[own] = True
+    number = np.flatnonzero(there)
+    size = np.bincount(number // alone, minlength=blocks)
+    rank = np.empty(blocks * alone, np.int64)
+    rank[number] = np.arange(len(number))
+    own = rank.take(own)
+    by_none = _before(own, np.repeat(np.cumsum(size) - size, size), np.repeat(np.cumsum(size), size), epoch)
+    # Nothing is before the contexts of a block's first two tokens, which have numbers that others don't.
+    one = np.zeros(n, np.int64)
+    one[1:] = own[:-1] + 1
+    one[begins] = 0
+    by_one, pair = _counts(one, ids, epoch, True)
     two = np.zeros(n, np.int64)  # the last two ids are what the token before had as context and id
     two[1:] = pair[:-1]
-    two = np.where(position == 0, (1 << 17) + 1 + base, two)
-    by_two, _ = _counts(two, ids, epoch)
+    two[begins] = 0
+    often = np.flatnonzero(np.bincount(two).take(two) > 1)
+    (at, *found), _ = _counts(two.take(often), ids.take(often), epoch.take(often))
+    by_two = (often.take(at), *found)
     low = np.zeros(n, np.int64)
     width = np.zeros(n, np.int64)
     room = np.full(n, (1 << TOTAL_BITS) - vocabulary, np.int64)
     reached = np.ones(n, bool)
     for at, less, same, seen in (by_two, by_one, by_none):
         slot = (base.take(at) * BUCKETS + _BUCKET.take(seen)) * n_epochs + epoch.take(at)
-        hit, tried = same > 0, reached.take(at)
-        trials, hits = (np.bincount(slot[x], minlength=blocks * BUCKETS * n_epochs).reshape(-1, n_epochs) for x in (tried, tried & hit))
+        hit = np.flatnonzero(same > 0)
+        tried = reached.take(at)
+        trials, hits = (np.bincount(slot.take(x), minlength=blocks * BUCKETS * n_epochs).reshape(-1, n_epochs) for x in (np.flatnonzero(tried), hit.compress(tried.take(hit))))
         # A weight follows what was tried before the epoch.
         weight = _weights(np.cumsum(hits, axis=1) - hits, np.cumsum(trials, axis=1) - trials).ravel().take(slot)
         left = room.take(at)
@@ -250,48 +262,54 @@ def intervals(ids: np.ndarray, block: np.ndarray, position: np.ndarray, vocabula
         a = _part(share, less, seen)
         low[at] += a
         width[at] += _part(share, less + same, seen) - a
-        reached[at[hit]] = False
+        reached[at.take(hit)] = False
     each = room // vocabulary + 1
     return low + each * real, width + each
 
 
 def range_encode(low: np.ndarray, width: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """Code blocks (runs between ``first``) in lockstep."""
+    """Code blocks (runs between ``first``) in lockstep, ``STEPS`` places at a time so that turned arrays stay in the caches."""
     lengths = np.diff(first)
     lanes, steps = len(lengths), int(lengths.max(initial=0))
-    at = np.zeros((steps, lanes), np.uint64)
-    size = np.full((steps, lanes), 1 << TOTAL_BITS, np.uint64)
-    lane = np.repeat(np.arange(lanes), lengths)
-    step = np.arange(first[-1]) - np.repeat(first[:-1], lengths)
-    at[step, lane], size[step, lane] = low.astype(np.uint64), width.astype(np.uint64)
-    words = np.zeros((steps + 2, lanes), np.uint32)
-    out = np.zeros((steps + 2, lanes), bool)
-    carry = np.zeros((steps, lanes), bool)
+    given = np.zeros((2, lanes, steps + 16), np.uint32)  # no row is a power of two long: those would share cache lines
+    given[1] = 1 << TOTAL_BITS
+    for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+        given[0, k, : b - a], given[1, k, : b - a] = low[a:b], width[a:b]
+    words = np.zeros((lanes, steps + 18), np.uint32)
+    out = np.zeros((lanes, steps + 2), bool)
+    carry = np.zeros((lanes, steps), bool)
     base, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    shift24, shift32, limit = np.uint64(TOTAL_BITS), np.uint64(32), np.uint64(1 << 32)
-    for t in range(steps):
-        unit = span >> shift24
-        add = unit * at[t]
-        base += add
-        carry[t] = base < add
-        span = unit * size[t]
-        short = span < limit
-        out[t] = short
-        words[t] = base >> shift32
-        by = short * shift32
-        base <<= by
-        span <<= by
-    words[steps], words[steps + 1] = base >> shift32, base & np.uint64(0xFFFFFFFF)
-    out[steps:] = True
-    words, out, carry = (np.ascontiguousarray(x.T) for x in (words, out, carry))
+    unit, add, by = np.empty((3, lanes), np.uint64)
+    bases, (outs, carries) = np.empty((STEPS, lanes), np.uint64), np.empty((2, STEPS, lanes), bool)
+    shift24, shift32, shift5, one = np.uint64(TOTAL_BITS), np.uint64(32), np.uint64(5), np.uint64(1)
+    for t in range(0, steps, STEPS):
+        some = slice(t, min(t + STEPS, steps))
+        n = some.stop - t
+        at, size = (x[:, some].T.astype(np.uint64, order="C") for x in given)
+        for x, y, reached, over, short in zip(at, size, bases, carries, outs):
+            np.right_shift(span, shift24, unit)
+            np.multiply(unit, x, add)
+            np.add(base, add, reached)
+            np.less(reached, add, over)
+            np.multiply(unit, y, span)
+            np.right_shift(span, shift32, by)  # by 32 bits if none of the upper 32 is left
+            np.minimum(by, one, by)
+            np.less(by, one, short)
+            np.bitwise_xor(by, one, by)
+            np.left_shift(by, shift5, by)
+            np.left_shift(reached, by, base)
+            np.left_shift(span, by, span)
+        words[:, some], out[:, some], carry[:, some] = (bases[:n] >> shift32).T, outs[:n].T, carries[:n].T
+    words[:, steps], words[:, steps + 1] = base >> shift32, base & np.uint64(0xFFFFFFFF)
+    out[:, steps:] = True
     coded = []
     for k in range(lanes):
-        w = words[k, out[k]]
+        sent = np.flatnonzero(out[k])
+        w = words[k].take(sent)
         value = int.from_bytes(w.astype(">u4").tobytes(), "big")
         where = np.flatnonzero(carry[k])
         if len(where):  # a carry belongs to the last word written before it
-            sent = np.cumsum(out[k])[where] - out[k, where]
-            extra = np.bincount(sent - 1, minlength=len(w)).astype(">u4")
+            extra = np.bincount(np.searchsorted(sent, where) - 1, minlength=len(w)).astype(">u4")
             value += int.from_bytes(extra.tobytes(), "big")
         coded.append(value.to_bytes(4 * len(w), "big").rstrip(b"\0"))
     return coded

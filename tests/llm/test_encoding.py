@@ -29,6 +29,23 @@ def test_tokenizer_agrees_with_the_library():
             assert ids[first[k] : first[k + 1]].tolist() == t.encoding.encode_ordinary(x)
 
 
+def test_tokenizer_tells_equal_hashes_apart_and_knows_words_of_other_letters():
+    """A sign and a zero byte once had the hash of another sign; accented words went through the pattern with all that stood beside them."""
+    t = token_codec.Tokenizer()
+    texts = ["a!\0b", 'a"b'] + [f"{a}{chr(c)}{b}" for c in range(1, 0x800) for a, b in (("", ""), ("a ", "a"), (" ", "'s"), ("\n", " "))]
+    ids, first = t.encode_all(*textkit.buffers(pa.array(texts)))
+    for k, x in enumerate(texts):
+        assert ids[first[k] : first[k + 1]].tolist() == t.encoding.encode_ordinary(x)
+    raw = [b"\xc3", b"\xa9 a", b"a\xe2\xc3\xa9 b", b"\xd0", b"\xb6\xd0\xb6", b" \xc3\xa9\xa9"]  # not UTF-8, and not joined at a text's end
+    ids, first = t.encode_all(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for k, x in enumerate(raw):
+        assert ids[first[k] : first[k + 1]].tolist() == t.encoding.encode_ordinary(x.decode("utf-8", "replace"))
+    words = ["été", "señor", "größe", "жизнь", "ωμέγα", "naïve"]
+    rnd = random.Random(4)
+    start, end, plain = t._stretches(*textkit.buffers(pa.array([" ".join(rnd.choices(words, k=300)) for _ in range(20)])))
+    assert plain.all() and len(start) == 6000
+
+
 def test_coder_round_trip():
     rng = np.random.default_rng(1)
     runs = [rng.integers(0, 50_256, 9), np.zeros(3000, int), rng.zipf(1.3, 8192) % 50_256, np.array([50_255]), np.zeros(0, int), np.tile([5, 6, 7], 700)]
@@ -39,6 +56,18 @@ def test_coder_round_trip():
     assert len(coded[1][1]) < 120 and len(coded[5][1]) < 500  # what repeats is nearly free
 
 
+def test_coder_takes_runs_of_any_length():
+    """About the coder's steps, and runs that are counted beside others or have no ids at all."""
+    rng = np.random.default_rng(2)
+    sizes = [0, 1, 2, 3, token_codec.STEPS - 1, token_codec.STEPS, token_codec.STEPS + 1, 0, 700]
+    for vocabulary in (50, 50_256):
+        for some in (sizes, sizes[:1], sizes[1:2], []):
+            runs = [rng.integers(0, min(vocabulary, 90), n) for n in some]
+            first = np.cumsum([0, *some])
+            coded = token_codec.encode_blocks(np.concatenate([*runs, np.zeros(0, int)]).astype(np.uint32), first, vocabulary)
+            assert [token_codec.decode_block(p, len(r), vocabulary).tolist() for r, (_, p) in zip(runs, coded)] == [r.tolist() for r in runs]
+
+
 def test_coder_takes_large_vocabularies():
     rng = np.random.default_rng(5)
     for size in (131_071, 131_072, 199_000, token_codec.MOST_IDS):
