@@ -48,3 +48,17 @@ def test_order_breaks_within_ranges_and_at_their_borders(spark):
         df = spark.range(n).repartition(5).select(F.col("id").alias("at"), (-F.col("id")).alias("key"))
         got = sorted(r[0] for r in dml.order_breaks(df, "at", "key").collect())
     assert got == list(range(1, n))
+
+
+def test_compared_rows_of_a_join_are_spread(spark, tmp_path):
+    """Few files, few keys and many pairs: the pairs are made by many tasks."""
+    from brindle.plans import catalogue
+
+    spark.createDataFrame([(k, k % 2, float(k)) for k in range(3_000)], "c_custkey long, c_nationkey int, c_acctbal double").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(k, k % 2, float(3 * k)) for k in range(300)], "s_suppkey long, s_nationkey int, s_acctbal double").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    for settings in ({}, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        with conf(spark, **settings):
+            pairs = catalogue.QUERIES["join_theta_residual"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+        assert sorted((r.c_custkey, r.s_suppkey) for r in pairs) == [(c, s) for c in range(3_000) for s in range(c % 2, 300, 2) if c > 3 * s]
+        by_task = [sum(r.task == t for r in pairs) for t in {r.task for r in pairs}]
+        assert max(by_task) < len(pairs) / 8
