@@ -62,3 +62,26 @@ def test_compared_rows_of_a_join_are_spread(spark, tmp_path):
         assert sorted((r.c_custkey, r.s_suppkey) for r in pairs) == [(c, s) for c in range(3_000) for s in range(c % 2, 300, 2) if c > 3 * s]
         by_task = [sum(r.task == t for r in pairs) for t in {r.task for r in pairs}]
         assert max(by_task) < len(pairs) / 8
+
+
+def test_postings_of_large_batches_are_counted_in_pieces(spark, monkeypatch):
+    """A batch of many tokens leaves in several, with the counts of each document whole."""
+    import numpy as np
+
+    from brindle.operators import search
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(10, 60, rng.integers(0, 400))) for _ in range(3_000)] + [" ".join(["long"] * 300_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1)
+    seen = {}
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: seen.update(rows=self, run=run, schema=schema))
+    search.postings(docs, "i", "t")
+    monkeypatch.undo()
+    whole = seen["rows"].toArrow().combine_chunks().to_batches()
+    assert len(whole) == 1
+    parts = list(seen["run"](iter(whole)))
+    most = 1 << 17
+    assert all(sum(p["tf"].to_pylist()) <= most or p["id"].unique().to_pylist() == [3_000] for p in parts)
+    got = sorted((r["id"], r["term"], r["tf"], r["dl"]) for p in parts for r in p.to_pylist())
+    want = sorted((k, w, t.split().count(w), len(t.split())) for k, t in enumerate(texts) for w in set(t.split()))
+    assert got == want
