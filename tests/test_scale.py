@@ -85,3 +85,36 @@ def test_postings_of_large_batches_are_counted_in_pieces(spark, monkeypatch):
     got = sorted((r["id"], r["term"], r["tf"], r["dl"]) for p in parts for r in p.to_pylist())
     want = sorted((k, w, t.split().count(w), len(t.split())) for k, t in enumerate(texts) for w in set(t.split()))
     assert got == want
+
+
+def test_collation_keys_order_as_whole_keys():
+    """The keys of a batch, made without their last least signs, sort as the reference does."""
+    import itertools
+
+    import pyarrow as pa
+
+    from brindle.functions import collation
+
+    texts = ["".join(x) for n in range(4) for x in itertools.product("aAáÁnñÑz", repeat=n)] + ["long ñ" * 300_000, None, "n\U0010ffff", "N\U0010ffffá"]
+    keys = collation._keys_of(pa.array(texts)).to_pylist()
+    assert len(keys) == len(texts) and keys[texts.index(None)] == {"primary": None, "secondary": None, "tertiary": None}
+    plain = [k for k, t in enumerate(texts) if t is not None and "\U0010ffff" not in t]
+    order = lambda k: tuple(keys[k][n].encode() for n in ("primary", "secondary", "tertiary"))
+    assert sorted(plain, key=order) == sorted(plain, key=lambda k: collation.python_key(texts[k]))
+    assert keys[texts.index("aa")]["secondary"] == keys[texts.index("aa")]["tertiary"] == ""
+    assert order(texts.index("ñ")) < order(texts.index("n\U0010ffff"))
+
+
+def test_collation_holds_one_string_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from brindle.functions import collation
+
+    texts = pa.array(["Año nuevo, vida nueva. " * 300] * 3_000)
+    tracemalloc.start()
+    collation._keys_of(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * texts.nbytes
