@@ -118,3 +118,45 @@ def test_collation_holds_one_string_at_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 3 * texts.nbytes
+
+
+def test_nearest_neighbours_in_tiles_are_those_of_all_pairs():
+    """Batches larger than a tile, equal vectors (ties go by id), vectors without length: little memory, the same rows."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from brindle.operators import search
+
+    rng = np.random.default_rng(5)
+    n, dims, k = 10_000, 16, 10
+    v = rng.normal(size=(n, dims)).astype(np.float32)
+    v[5_000:5_600] = v[:600]
+    v[7_000:7_030] = v[0]
+    v[9_000:9_020] = 0
+    ids = rng.permutation(n).astype(np.int64)
+    batch = pa.record_batch([pa.array(ids), pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), dims).cast(pa.list_(pa.float32()))], ["id", "v"])
+    at = np.flatnonzero((ids % 20 == 0) | (np.arange(n) < 20) | (np.arange(n) // 10 == 900))
+    sent = type("Sent", (), {"value": (ids[at], v[at])})
+    x = v.astype(np.float64)
+    for metric in ("cosine", "dot", "l2"):
+        tracemalloc.start()
+        (got,) = search._best_of(sent, k, metric)(iter([batch.slice(0, 9_999), batch.slice(9_999)]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40e6
+        want = []
+        for q in at:
+            if metric == "l2":
+                d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            else:
+                d = 1 - (x * x[q]).sum(1) if metric == "dot" else None
+                if d is None:
+                    length = np.sqrt((x[q] ** 2).sum()) * np.sqrt((x**2).sum(1))
+                    d = np.where(length == 0, 1.0, 1 - (x * x[q]).sum(1) / np.where(length == 0, 1, length))
+            d[q] = np.inf
+            want += [(ids[q], ids[j], d[j]) for j in np.lexsort((ids, d))[:k]]
+        assert got["query_id"].to_pylist() == [w[0] for w in want]
+        assert got["id"].to_pylist() == [w[1] for w in want]
+        assert np.allclose(got["distance"].to_numpy(), [w[2] for w in want], atol=1e-9)
